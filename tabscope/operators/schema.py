@@ -271,6 +271,6 @@ def kpi_column_names(df: DataFrame, keywords: Sequence[str] = KPI_KEYWORDS, k: i
         hit = hit | F.lower(F.col("column")).contains(kw)
     m = m.withColumn("_hit", hit)
     w = Window.partitionBy("_hit").orderBy("ordinal")
-    m = m.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
     any_hit = F.max(F.col("_hit").cast("int")).over(Window.partitionBy())
-    return m.where(F.col("_hit") == (any_hit == 1)).select("ordinal", "column")
+    m = m.withColumn("_rn", F.row_number().over(w)).withColumn("_any", any_hit == 1)
+    return m.where((F.col("_rn") <= k) & (F.col("_hit") == F.col("_any"))).select("ordinal", "column")
