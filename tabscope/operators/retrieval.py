@@ -128,20 +128,24 @@ def _l2(df: DataFrame, keys: Sequence[str], val: str, out: str = "w") -> DataFra
     return df.join(norm, list(keys)).withColumn(out, F.col(val) / (F.col("_norm") + F.lit(1e-12))).drop("_norm")
 
 
-def hash_embed(df: DataFrame, keys: Sequence[str], text_col: str = "text", dims: int = HASH_DIMS) -> DataFrame:
-    """(keys..., bucket, w): unsigned bucket counts of 1-2-grams, L2-normalised (+1e-12)."""
-    tc = term_counts(df, keys, text_col)
+def dense_from_counts(tc: DataFrame, keys: Sequence[str], dims: int = HASH_DIMS) -> DataFrame:
     b = tc.groupBy(*keys, hash_bucket(F.col("term"), dims).alias("bucket")).agg(F.sum("tf").cast("double").alias("c"))
     return _l2(b, keys, "c").drop("c")
 
 
-def tfidf_index(chunks: DataFrame, keys: Sequence[str] = ("doc_id", "chunk_no"), max_features: int = MAX_FEATURES):
+def hash_embed(df: DataFrame, keys: Sequence[str], text_col: str = "text", dims: int = HASH_DIMS) -> DataFrame:
+    """(keys..., bucket, w): unsigned bucket counts of 1-2-grams, L2-normalised (+1e-12)."""
+    return dense_from_counts(term_counts(df, keys, text_col), keys, dims)
+
+
+def tfidf_index(chunks: DataFrame, keys: Sequence[str] = ("doc_id", "chunk_no"), max_features: int = MAX_FEATURES,
+                tc: DataFrame | None = None):
     """Smooth idf ln((1+n)/(1+df)) + 1 over the max_features most frequent terms; L2 rows.
 
     Returns (postings, terms). The vocabulary is a global top-k (bounded by max_features).
     """
     keys = list(keys)
-    tc = term_counts(chunks, keys)
+    tc = tc if tc is not None else term_counts(chunks, keys)
     n = chunks.select(*keys).distinct().agg(F.count(F.lit(1)).alias("n"))
     stats = tc.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     vocab = stats.orderBy(F.desc("total"), "term").limit(max_features)
@@ -153,10 +157,13 @@ def tfidf_index(chunks: DataFrame, keys: Sequence[str] = ("doc_id", "chunk_no"),
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[str, DataFrame]:
     """S15 in memory: chunks, dense, postings, terms (persist with ``sources.io.write_index``)."""
-    chunks = chunk_text(docs, id_col, text_col)
+    from ..session import cut_lineage
     keys = ["doc_id", "chunk_no"]
-    post, terms = tfidf_index(chunks, keys)
-    return {"chunks": chunks, "dense": hash_embed(chunks, keys), "postings": post, "terms": terms}
+    # the chunk fold and the term counts feed every index table: materialise each once (reliable checkpoint)
+    chunks = cut_lineage(chunk_text(docs, id_col, text_col))
+    tc = cut_lineage(term_counts(chunks, keys))
+    post, terms = tfidf_index(chunks, keys, tc=tc)
+    return {"chunks": chunks, "dense": dense_from_counts(tc, keys), "postings": post, "terms": terms}
 
 
 # ---------------------------------------------------------------- R5-R8
@@ -197,9 +204,121 @@ def minmax_normalize(scores: DataFrame, col: str, n_total: Column | int, by: str
     return scores.withColumn(f"{col}_norm", F.when(mx > mn, (F.col(col) - mn) / (mx - mn + 1e-12)).otherwise(F.col(col)))
 
 
+def _query_side(index: dict[str, DataFrame], queries: DataFrame, qid: str, qtext: str):
+    """Query buckets and TF-IDF weights (bounded: queries x their own terms)."""
+    q = queries.select(F.col(qid).alias("query_id"), F.col(qtext).alias("text"))
+    qd = hash_embed(q, ["query_id"]).select("query_id", "bucket", F.col("w").alias("qw"))
+    qt = term_counts(q, ["query_id"]).join(F.broadcast(index["terms"].select("term", "idf")), "term") \
+        .withColumn("x", F.col("tf") * F.col("idf"))
+    ql = _l2(qt, ["query_id"], "x").select("query_id", "term", F.col("w").alias("qw"))
+    return qd, ql
+
+
+def chunk_vectors(index: dict[str, DataFrame], terms: DataFrame | None = None) -> DataFrame:
+    """One row per chunk: dense (bucket, w) arrays and TF-IDF (term, w) arrays, optionally limited to ``terms``."""
+    d = index["dense"].groupBy("doc_id", "chunk_no").agg(F.collect_list("bucket").alias("b"), F.collect_list("w").alias("bw"))
+    post = index["postings"]
+    if terms is not None:
+        post = post.join(F.broadcast(terms), "term", "left_semi")
+    lx = post.groupBy("doc_id", "chunk_no").agg(F.collect_list("term").alias("t"), F.collect_list("w").alias("tw"))
+    return index["chunks"].select("doc_id", "chunk_no").join(d, ["doc_id", "chunk_no"], "left") \
+        .join(lx, ["doc_id", "chunk_no"], "left")
+
+
 def hybrid_search(index: dict[str, DataFrame], queries: DataFrame, k: int = TOP_K, qid: str = "query_id",
+                  qtext: str = "text", with_text: bool = False, max_matrix: int = 50_000_000) -> DataFrame:
+    """0.6 * dense + 0.4 * lexical (each min-max normalised over all chunks, per query), top k per query.
+
+    The query matrices (768 buckets x Q and query-terms x Q) are broadcast when their size is
+    under ``max_matrix`` entries (checked); each corpus partition is scored with two matrix
+    products and only its local top k per query leaves the task. A first pass over the
+    partitions gathers the per-query min / max needed for normalisation. Chunks with zero
+    dense and zero lexical similarity are not listed; ties break on (score, doc_id, chunk_no).
+    Beyond the size bound the sparse-join form (``hybrid_search_join``) is used.
+    """
+    import numpy as np
+    import pandas as pd
+
+    qd, ql = _query_side(index, queries, qid, qtext)
+    qids = sorted(r[0] for r in queries.select(qid).distinct().collect())
+    qterms = ql.select("term").distinct()
+    tl = sorted(r[0] for r in qterms.collect())
+    if len(qids) * (HASH_DIMS + len(tl)) > max_matrix:
+        return hybrid_search_join(index, queries, k, qid, qtext, with_text)
+    qpos = {q: i for i, q in enumerate(qids)}
+    tpos = {t: i for i, t in enumerate(tl)}
+    Qd = np.zeros((HASH_DIMS, len(qids)))
+    for r in qd.collect():
+        Qd[r["bucket"], qpos[r["query_id"]]] = r["qw"]
+    Ql = np.zeros((max(1, len(tl)), len(qids)))
+    for r in ql.collect():
+        Ql[tpos[r["term"]], qpos[r["query_id"]]] = r["qw"]
+    sc = index["chunks"].sparkSession.sparkContext
+    bc = sc.broadcast((np.array(qids, dtype=np.int64), Qd, Ql, tpos))
+    from ..session import cut_lineage
+    vecs = cut_lineage(chunk_vectors(index, qterms))  # scanned twice (min/max pass, top-k pass)
+
+    def scores(pdf):
+        _, qd_, ql_, tp = bc.value
+        n = len(pdf)
+        B = np.zeros((n, HASH_DIMS))
+        L = np.zeros((n, ql_.shape[0]))
+        for i, (b, bw, t, tw) in enumerate(zip(pdf["b"], pdf["bw"], pdf["t"], pdf["tw"])):
+            if b is not None and len(b):
+                B[i, np.asarray(b, dtype=np.int64)] = np.asarray(bw, dtype=np.float64)
+            if t is not None and len(t):
+                idx = [tp[x] for x in t]
+                L[i, idx] = np.asarray(tw, dtype=np.float64)
+        return B @ qd_, L @ ql_
+
+    def stats_pass(batches):
+        qi = bc.value[0]
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            d, lx = scores(pdf)
+            yield pd.DataFrame({"query_id": qi, "dmin": d.min(0), "dmax": d.max(0), "lmin": lx.min(0), "lmax": lx.max(0)})
+
+    st = vecs.mapInPandas(stats_pass, "query_id long, dmin double, dmax double, lmin double, lmax double") \
+        .groupBy("query_id").agg(F.min("dmin").alias("dmin"), F.max("dmax").alias("dmax"),
+                                 F.min("lmin").alias("lmin"), F.max("lmax").alias("lmax")).toPandas()
+    st = st.set_index("query_id").reindex(qids)
+    bst = sc.broadcast(st[["dmin", "dmax", "lmin", "lmax"]].to_numpy())
+
+    def norm(x, lo, hi):
+        rng = hi - lo
+        return np.where(hi > lo, (x - lo) / (rng + 1e-12), x)
+
+    def top_pass(batches):
+        qi = bc.value[0]
+        mm = bst.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            d, lx = scores(pdf)
+            score = np.round(DENSE_WEIGHT * norm(d, mm[:, 0], mm[:, 1]) + LEXICAL_WEIGHT * norm(lx, mm[:, 2], mm[:, 3]), 6)
+            docs, chs = pdf["doc_id"].to_numpy(), pdf["chunk_no"].to_numpy()
+            for j in range(len(qi)):
+                keep = np.nonzero((d[:, j] > 0) | (lx[:, j] > 0))[0]
+                if not len(keep):
+                    continue
+                order = keep[np.lexsort((chs[keep], docs[keep], -score[keep, j]))][:k]
+                yield pd.DataFrame({"query_id": qi[j], "doc_id": docs[order], "chunk_no": chs[order],
+                                    "score": score[order, j], "dense": d[order, j], "lexical": lx[order, j]})
+
+    cand = vecs.mapInPandas(top_pass, "query_id long, doc_id long, chunk_no int, score double, dense double, lexical double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "chunk_no")
+    top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = top.select("query_id", "rank", "doc_id", "chunk_no", R("score").alias("score"), R("dense").alias("dense"),
+                     R("lexical").alias("lexical"))
+    if with_text:
+        out = out.join(index["chunks"], ["doc_id", "chunk_no"])
+    return out
+
+
+def hybrid_search_join(index: dict[str, DataFrame], queries: DataFrame, k: int = TOP_K, qid: str = "query_id",
                   qtext: str = "text", with_text: bool = False) -> DataFrame:
-    """0.6 * dense + 0.4 * lexical (each min-max normalised per query), top k per query.
+    """R8 by sparse joins (fallback when the query matrices are too large to broadcast).
 
     Ties are broken by (doc_id, chunk_no). Chunks sharing no bucket and no term with a
     query have both scores 0 and are not listed.
