@@ -82,6 +82,13 @@ def main():
             print(f"MISMATCH-COLS {name}: spark={sorted(scols)} duck={sorted(dcols)}")
             bad += 1
             continue
+        smap = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                "timestamp_ntz": "TIMESTAMP", "date": "DATE", "timestamp": "TIMESTAMP WITH TIME ZONE"}
+        st = {f.name: smap.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+        dt_ = {d[0]: str(d[1]) for d in cur.description}
+        tdiff = {c: (st[c], dt_.get(c)) for c in st if st[c] != dt_.get(c)}
+        if tdiff:
+            print(f"TYPES      {name}: {tdiff}")
         a, b = rows_of(scols, srows), rows_of(dcols, drows)
         from collections import Counter
         if Counter(a) == Counter(b):

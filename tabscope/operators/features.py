@@ -136,7 +136,7 @@ def quantile_bin(df: DataFrame, x: str, q: int) -> Column:
     v = F.col(x).cast("double")
     # at most q + 1 edges: count those below v (unrolled; higher-order functions cannot hold a subquery)
     below = sum((F.coalesce((F.get(edges, i) < v).cast("int"), F.lit(0)) for i in range(q + 1)), F.lit(0))
-    return F.when(v.isNotNull(), F.greatest(below - 1, F.lit(0)))
+    return F.when(v.isNotNull(), F.greatest(below - 1, F.lit(0))).cast("long")
 
 
 # Quantile label sets.
@@ -272,7 +272,7 @@ def cyclical_date(col: str) -> dict[str, Column]:
     m = F.month(t).cast("double")
     d = F.weekday(t).cast("double")
     tau = 2 * math.pi
-    return {f"{col}_year": F.year(t), f"{col}_month_sin": F.sin(F.lit(tau) * m / 12),
+    return {f"{col}_year": F.year(t).cast("long"), f"{col}_month_sin": F.sin(F.lit(tau) * m / 12),
             f"{col}_month_cos": F.cos(F.lit(tau) * m / 12), f"{col}_dow_sin": F.sin(F.lit(tau) * d / 7),
             f"{col}_dow_cos": F.cos(F.lit(tau) * d / 7), f"{col}_is_weekend": (F.weekday(t) >= 5).cast("int")}
 

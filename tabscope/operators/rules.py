@@ -76,7 +76,7 @@ def lines_of(df: DataFrame, id_col: str, text_col: str, extra: Sequence[str] = (
     from .retrieval import split_lines
     x = df.where(~F.coalesce(F.col(text_col), F.lit("")).contains(PLACEHOLDER))
     return x.select(F.col(id_col).alias("file_id"), *extra, F.posexplode(split_lines(F.coalesce(F.col(text_col), F.lit(""))))
-                    .alias("pos", "line")).withColumn("line_no", F.col("pos") + 1).drop("pos")
+                    .alias("pos", "line")).withColumn("line_no", (F.col("pos") + 1).cast("long")).drop("pos")
 
 
 def scan_lines(df: DataFrame, id_col: str, text_col: str, group_col: str | None = None,

@@ -170,7 +170,7 @@ def row_index(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str
     staged = (not partition_by) if skew_safe is None else skew_safe
     if staged:
         return global_row_index(df, order_by, out, partition_by, partitions)
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*partition_by).orderBy(*order_by)) - 1)
+    return df.withColumn(out, (F.row_number().over(Window.partitionBy(*partition_by).orderBy(*order_by)) - 1).cast("long"))
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:

@@ -34,6 +34,25 @@ def queries() -> dict[str, Callable]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
 
+def _bigint_count_if(sql: str) -> str:
+    """DuckDB's count_if is HUGEINT; Spark's is bigint: cast each call (paren-matched)."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while k < len(sql):
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            if depth == 0:
+                break
+            k += 1
+        inner = _bigint_count_if(sql[j + len(key):k])
+        out.append(sql[i:j] + f"CAST(count_if({inner}) AS BIGINT)")
+        i = k + 1
+
+
 def oracle_sql() -> dict[str, str]:
     _load()
-    return {k: v[1] for k, v in REGISTRY.items() if v[1]}
+    return {k: _bigint_count_if(v[1]) for k, v in REGISTRY.items() if v[1]}

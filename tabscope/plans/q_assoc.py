@@ -178,7 +178,7 @@ def _levene_sql(cat, num):
  zg AS (SELECT l.cat_col, l."column", l.level, count(*) AS n, avg(abs(value - median)) AS zm,
    sum(abs(value - median) * abs(value - median)) AS zz, sum(abs(value - median)) AS zs FROM l JOIN m USING (cat_col, "column", level) GROUP BY ALL),
  lev AS (SELECT cat_col, "column", sum(n) AS nn, count(*) AS k, sum(zs) AS ZS, sum(zz - n * zm * zm) AS ssw, sum(n * zm * zm) AS nzm2 FROM zg GROUP BY ALL)
-SELECT cat_col, "column", {r6('(nn - k) * (nzm2 - nn * (ZS / nn) * (ZS / nn)) / ((k - 1) * ssw)')} AS levene_w, k - 1 AS d1, nn - k AS d2 FROM lev"""
+SELECT cat_col, "column", {r6('(nn - k) * (nzm2 - nn * (ZS / nn) * (ZS / nn)) / ((k - 1) * ssw)')} AS levene_w, k - 1 AS d1, CAST(nn - k AS BIGINT) AS d2 FROM lev"""
 
 
 register("levene", _levene_sql("o_orderstatus", "o_totalprice"))(
@@ -205,7 +205,7 @@ def _anova_sql():
    + (count(*) OVER (PARTITION BY cat_col, "column", value) - 1) / 2.0 AS rnk FROM inc),
  rs AS (SELECT cat_col, "column", sum(rg * rg / ng) AS r2n FROM (SELECT cat_col, "column", level, sum(rnk) AS rg, count(*) AS ng FROM rk GROUP BY ALL) GROUP BY ALL),
  ties AS (SELECT cat_col, "column", sum(c * c * c - c) AS tsum FROM (SELECT cat_col, "column", value, count(*) AS c FROM inc GROUP BY ALL) GROUP BY ALL)
-SELECT ab.cat_col, ab."column" AS numeric_col, k AS n_groups, nn AS N,
+SELECT ab.cat_col, ab."column" AS numeric_col, k AS n_groups, CAST(nn AS BIGINT) AS N,
   {r6('(ssb / (k - 1)) / (ssw / (nn - k))')} AS f_statistic,
   {r6('(12.0 / (nn * (nn + 1)) * r2n - 3 * (nn + 1)) / (1 - tsum / (nn * nn * nn - nn))')} AS kruskal_h,
   {r6('ssb_g / (ssw + ssb_g)')} AS eta_squared

@@ -45,11 +45,11 @@ register("dedup_seen", "SELECT arg_min(event_id, (ts, event_id)) AS event_id FRO
     lambda spark, sf: E.dedup_seen(_ev(spark, sf), ["user_id", "event_type"]).select("event_id"))
 
 register("rate_per_minute", f"""SELECT event_id, event_type, ts,
-  count(*) OVER w AS requests_window, sum({TOK_SQL}) OVER w AS tokens_window FROM events
+  count(*) OVER w AS requests_window, CAST(sum({TOK_SQL}) OVER w AS BIGINT) AS tokens_window FROM events
 WINDOW w AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)""")(
     lambda spark, sf: E.rate_per_minute(_ev(spark, sf), "event_type"))
 
-register("daily_usage", f"""SELECT user_id, date_trunc('day', ts) AS day, count(*) AS calls, sum({TOK_SQL}) AS tokens
+register("daily_usage", f"""SELECT user_id, date_trunc('day', ts) AS day, count(*) AS calls, CAST(sum({TOK_SQL}) AS BIGINT) AS tokens
 FROM events GROUP BY ALL""")(lambda spark, sf: E.daily_usage(_ev(spark, sf), "user_id"))
 
 LIMITS = {"rpm": 1, "rpd": 50, "tpm": 8, "tpd": 500}

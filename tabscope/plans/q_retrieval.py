@@ -91,9 +91,10 @@ register("chunk_text", f"WITH RECURSIVE {chunks_sql()} SELECT doc_id, chunk_no,
 
 register("tokenize_ngrams", f"""SELECT doc_id, CAST(len({TOK.format(x='text')}) AS BIGINT) AS n_unigrams,
   CAST(len({_terms('text')}) AS BIGINT) AS n_terms, {TOK.format(x='text')}[1] AS first_token FROM documents""")(
-    lambda spark, sf: RT.with_terms(t(spark, sf, "documents").withColumn("_tok", RT.tokens(F.col("text"))), ["doc_id", "_tok"])
-    .select("doc_id", F.size("_tok").cast("long").alias("n_unigrams"), F.size("terms").cast("long").alias("n_terms"),
-            F.get("_tok", 0).alias("first_token")))
+    lambda spark, sf: t(spark, sf, "documents").select("doc_id", RT.tokens(F.col("text")).alias("tok"))
+    .select("doc_id", "tok", RT.ngrams12_of(F.col("tok")).alias("terms"))
+    .select("doc_id", F.size("tok").cast("long").alias("n_unigrams"), F.size("terms").cast("long").alias("n_terms"),
+            F.get("tok", 0).alias("first_token")))
 
 register("hash_embed", f"""WITH qtc AS (SELECT query_id, term, count(*) AS tf FROM (SELECT item_id AS query_id, unnest({_terms('text')}) AS term FROM benchmark) GROUP BY ALL),
  qdb AS (SELECT query_id, CAST(('0x' || substr(md5(term), 1, 8))::BIGINT % 768 AS INTEGER) AS bucket, CAST(sum(tf) AS DOUBLE) AS c FROM qtc GROUP BY ALL)
