@@ -21,8 +21,9 @@ def _li(spark, sf):
     return t(spark, sf, "lineitem")
 
 
-def _li_q(expr_spark, name):
-    return lambda spark, sf: _li(spark, sf).select(*LK, R(expr_spark).alias(name))
+def _li_q(expr_fn, name):
+    """Query over lineitem keys plus one expression (built lazily, inside the query)."""
+    return lambda spark, sf: _li(spark, sf).select(*LK, R(expr_fn()).alias(name))
 
 
 def _li_sql(expr_sql, name):
@@ -30,17 +31,17 @@ def _li_sql(expr_sql, name):
 
 
 register("feature_product", _li_sql("l_quantity * l_extendedprice", "qty_x_price"))(
-    _li_q(FE.feature_product("l_quantity", "l_extendedprice"), "qty_x_price"))
+    _li_q(lambda: FE.feature_product("l_quantity", "l_extendedprice"), "qty_x_price"))
 register("feature_difference", _li_sql("l_quantity - l_discount", "qty_minus_disc"))(
-    _li_q(FE.feature_difference("l_quantity", "l_discount"), "qty_minus_disc"))
+    _li_q(lambda: FE.feature_difference("l_quantity", "l_discount"), "qty_minus_disc"))
 register("ratio_eps", _li_sql("l_tax / (l_discount + 1e-8)", "tax_div_disc"))(
-    _li_q(FE.ratio_eps("l_tax", "l_discount"), "tax_div_disc"))
+    _li_q(lambda: FE.ratio_eps("l_tax", "l_discount"), "tax_div_disc"))
 register("ratio_zero_safe", _li_sql("l_tax / CASE WHEN l_discount = 0 THEN 1.0 ELSE l_discount END", "tax_div_disc"))(
-    _li_q(FE.ratio_zero_safe("l_tax", "l_discount"), "tax_div_disc"))
+    _li_q(lambda: FE.ratio_zero_safe("l_tax", "l_discount"), "tax_div_disc"))
 register("ratio_zero_median", f"""SELECT {LKS}, {r6('l_tax / CASE WHEN l_discount = 0 THEN (SELECT quantile_cont(l_discount, 0.5) FROM lineitem) ELSE l_discount END')} AS tax_div_disc FROM lineitem""")(
     lambda spark, sf: _li(spark, sf).select(*LK, R(FE.ratio_zero_median(_li(spark, sf), "l_tax", "l_discount")).alias("tax_div_disc")))
 register("log_eps", _li_sql("CASE WHEN l_discount + 1e-8 > 0 THEN ln(l_discount + 1e-8) END", "log_disc"))(
-    _li_q(FE.log_eps("l_discount"), "log_disc"))
+    _li_q(lambda: FE.log_eps("l_discount"), "log_disc"))
 
 
 def _log1p_skewed(spark, sf):
@@ -68,9 +69,9 @@ SELECT o_orderkey, {r6('ln(1 + (m - o_totalprice))')} AS y, {r6('m - (exp(ln(1 +
 FROM orders, m""")(_reflect)
 
 register("linear_balance", _li_sql("l_quantity - l_discount - l_tax", "balance"))(
-    _li_q(FE.linear_balance([(1, "l_quantity"), (-1, "l_discount"), (-1, "l_tax")]), "balance"))
+    _li_q(lambda: FE.linear_balance([(1, "l_quantity"), (-1, "l_discount"), (-1, "l_tax")]), "balance"))
 register("residual_feature", _li_sql("l_extendedprice - (l_quantity - l_discount)", "resid"))(
-    _li_q(FE.residual_feature("l_extendedprice", "l_quantity", "l_discount"), "resid"))
+    _li_q(lambda: FE.residual_feature("l_extendedprice", "l_quantity", "l_discount"), "resid"))
 
 
 def _qbin_sql(table, key, x, q, labels=None):
@@ -253,7 +254,7 @@ register("to_date", """SELECT o_orderkey, TRY_CAST(CASE WHEN o_orderkey % 9 = 0
         F.when(F.col("o_orderkey") % 9 == 0, F.lit("not a date")).otherwise(F.col("o_orderdate").cast("string"))).cast("timestamp_ntz").alias("d")))
 
 register("safe_round", f"SELECT {LKS}, {r6('l_tax / l_discount')} AS r FROM lineitem")(
-    _li_q(SC.div("l_tax", "l_discount"), "r"))
+    _li_q(lambda: SC.div("l_tax", "l_discount"), "r"))
 
 
 def _strength_sql(e):

@@ -180,3 +180,12 @@ def test_entry_smoke(spark):
     import __spark_entry__ as ent
     df = ent.entry(spark)
     assert df.count() > 0 and "median" in df.columns
+
+
+def test_registry_imports_without_spark():
+    import subprocess
+    import sys
+    code = ("import sys; sys.path.insert(0, '.'); import __spark_entry__ as e; "
+            "q = e.queries(); s = e.oracle_sql(); assert set(s) <= set(q) and len(s) > 100")
+    root = __import__("os").path.dirname(__import__("os").path.dirname(__import__("os").path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
