@@ -362,7 +362,7 @@ def batch_score(model: PipelineModel, df: DataFrame, required: Sequence[str], id
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"missing features: {missing}")
-    out = model.transform(df.select(id_col, *required))
+    out = model.transform(df.select(id_col, *[c for c in required if c != id_col]))
     cols = [id_col, "prediction"]
     if "probability" in out.columns:
         from pyspark.ml.functions import vector_to_array

@@ -43,14 +43,19 @@ DATASET_EXTS = ["csv", "xlsx", "xls", "parquet", "json", "tsv"]
 
 
 def latest_dataset(spark: SparkSession, path: str, kind: str = "raw") -> str | None:
-    """Newest file by mtime; ``raw`` = any dataset extension without 'engineered', ``engineered`` = *_engineered.csv."""
+    """Newest dataset by mtime; ``raw`` = a dataset extension without 'engineered' in its name,
+    ``engineered`` = ``*_engineered.csv``. A dataset is a file, or a folder written by Spark
+    (the first path segment carrying a dataset extension)."""
     files = list_files(spark, path)
-    ext = F.lower(F.element_at(F.split("name", r"\."), -1))
+    exts = "|".join(DATASET_EXTS)
+    ds_path = F.regexp_extract("path", rf"^(.*?[^/]+\.({exts}))(/|$)", 1)
+    ds_name = F.element_at(F.split(ds_path, "/"), -1)
+    files = files.select(ds_path.alias("ds"), ds_name.alias("name"), "modificationTime").where(F.col("ds") != "")
     if kind == "engineered":
         files = files.where(F.col("name").endswith("_engineered.csv"))
     else:
-        files = files.where(ext.isin(*DATASET_EXTS) & ~F.col("name").contains("engineered"))
-    row = files.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("p")).first()
+        files = files.where(~F.col("name").contains("engineered"))
+    row = files.agg(F.max_by("ds", F.struct("modificationTime", "ds")).alias("p")).first()
     return row["p"] if row else None
 
 
