@@ -393,3 +393,15 @@ def baseline_train(df: DataFrame, target: str, keys: Sequence[str], numeric: Seq
     pred = m.transform(lab.where(F.col("is_test")))
     met = regression_metrics(pred) if task == "regression" else classification_metrics(pred)
     return met.withColumn("task", F.lit(task))
+
+
+def compare_runs(raw: DataFrame, engineered: DataFrame, key: str = "task") -> DataFrame:
+    """Best raw run vs best engineered run per key: scores, delta and pct change (full outer join)."""
+    def best(df, tag):
+        ok = df.where(F.col("status") == "ok")
+        return ok.groupBy(key).agg(F.max_by("model", F.struct("score", "model")).alias(f"{tag}_model"),
+                                   F.max("score").alias(f"{tag}_score"))
+    j = best(raw, "raw").join(best(engineered, "eng"), key, "full_outer")
+    delta = F.col("eng_score") - F.col("raw_score")
+    return j.withColumn("delta", R(delta)).withColumn(
+        "pct", R(F.when(F.col("raw_score") != 0, delta / F.abs(F.col("raw_score")) * 100)))

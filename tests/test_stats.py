@@ -132,3 +132,13 @@ def test_normality_k2_on_normal_and_skewed(spark):
     r = {x["column"]: x for x in P.normality_k2(df).collect()}
     assert r["e"]["normality_verdict"] == "non-normal"
     assert r["n"]["k2"] < 20
+
+
+def test_compare_runs(spark):
+    from tabscope.operators.ml import compare_runs
+    schema = "task string, model string, status string, score double"
+    raw = spark.createDataFrame([("t", "lin", "ok", 0.5), ("t", "rf", "ok", 0.6), ("t", "gbt", "error", None)], schema)
+    eng = spark.createDataFrame([("t", "rf", "ok", 0.66), ("u", "lin", "ok", 0.1)], schema)
+    got = {r["task"]: r for r in compare_runs(raw, eng).collect()}
+    assert got["t"]["raw_model"] == "rf" and got["t"]["delta"] == pytest.approx(0.06) and got["t"]["pct"] == pytest.approx(10.0)
+    assert got["u"]["raw_score"] is None and got["u"]["delta"] is None
