@@ -78,9 +78,10 @@ def chunk_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The fold is CPU-heavy per row, so input that arrives in fewer partitions than the
     cluster's default parallelism (e.g. one small file) is spread first.
     """
-    par = docs.sparkSession.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < par:
-        docs = docs.repartition(par)
+    # hash-partition on the document id: spreads the CPU-heavy fold, and every later aggregate keyed
+    # by (doc_id, chunk_no, ...) (term counts, norms) is then already clustered: no second shuffle
+    par = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
+    docs = docs.repartition(par, F.col(id_col))
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(chunk_array(F.col(text_col), size, overlap))
                        .alias("chunk_no", "text"))
 
@@ -214,13 +215,16 @@ def _query_side(index: dict[str, DataFrame], queries: DataFrame, qid: str, qtext
     return qd, ql
 
 
-def chunk_vectors(index: dict[str, DataFrame], terms: DataFrame | None = None) -> DataFrame:
-    """One row per chunk: dense (bucket, w) arrays and TF-IDF (term, w) arrays, optionally limited to ``terms``."""
+def chunk_vectors(index: dict[str, DataFrame], term_idx: DataFrame | None = None) -> DataFrame:
+    """One row per chunk: dense (bucket, w) arrays and TF-IDF arrays, the latter as (term index, w)
+    over the terms of ``term_idx`` (term, tidx) only (a bounded, broadcast vocabulary)."""
     d = index["dense"].groupBy("doc_id", "chunk_no").agg(F.collect_list("bucket").alias("b"), F.collect_list("w").alias("bw"))
     post = index["postings"]
-    if terms is not None:
-        post = post.join(F.broadcast(terms), "term", "left_semi")
-    lx = post.groupBy("doc_id", "chunk_no").agg(F.collect_list("term").alias("t"), F.collect_list("w").alias("tw"))
+    if term_idx is not None:
+        post = post.join(F.broadcast(term_idx), "term")
+    else:
+        post = post.withColumn("tidx", F.lit(None).cast("int"))
+    lx = post.groupBy("doc_id", "chunk_no").agg(F.collect_list("tidx").alias("t"), F.collect_list("w").alias("tw"))
     return index["chunks"].select("doc_id", "chunk_no").join(d, ["doc_id", "chunk_no"], "left") \
         .join(lx, ["doc_id", "chunk_no"], "left")
 
@@ -253,23 +257,36 @@ def hybrid_search(index: dict[str, DataFrame], queries: DataFrame, k: int = TOP_
     Ql = np.zeros((max(1, len(tl)), len(qids)))
     for r in ql.collect():
         Ql[tpos[r["term"]], qpos[r["query_id"]]] = r["qw"]
-    sc = index["chunks"].sparkSession.sparkContext
-    bc = sc.broadcast((np.array(qids, dtype=np.int64), Qd, Ql, tpos))
+    spark = index["chunks"].sparkSession
+    sc = spark.sparkContext
+    bc = sc.broadcast((np.array(qids, dtype=np.int64), Qd, Ql))
     from ..session import cut_lineage
-    vecs = cut_lineage(chunk_vectors(index, qterms))  # scanned twice (min/max pass, top-k pass)
+    term_idx = spark.createDataFrame([(t, i) for t, i in tpos.items()], "term string, tidx int")
+    vecs = cut_lineage(chunk_vectors(index, term_idx))  # scanned twice (min/max pass, top-k pass)
+
+    def _flat(col, wcol):
+        lens = np.array([0 if v is None else len(v) for v in col], dtype=np.int64)
+        idx = np.concatenate([np.asarray(v, dtype=np.int64) for v in col if v is not None and len(v)] or [np.zeros(0, np.int64)])
+        w = np.concatenate([np.asarray(v, dtype=np.float64) for v in wcol if v is not None and len(v)] or [np.zeros(0)])
+        return lens, idx, w
 
     def scores(pdf):
-        _, qd_, ql_, tp = bc.value
-        n = len(pdf)
+        _, qd_, ql_ = bc.value
+        n, nq = len(pdf), qd_.shape[1]
+        lens, bidx, bw = _flat(pdf["b"], pdf["bw"])
         B = np.zeros((n, HASH_DIMS))
-        L = np.zeros((n, ql_.shape[0]))
-        for i, (b, bw, t, tw) in enumerate(zip(pdf["b"], pdf["bw"], pdf["t"], pdf["tw"])):
-            if b is not None and len(b):
-                B[i, np.asarray(b, dtype=np.int64)] = np.asarray(bw, dtype=np.float64)
-            if t is not None and len(t):
-                idx = [tp[x] for x in t]
-                L[i, idx] = np.asarray(tw, dtype=np.float64)
-        return B @ qd_, L @ ql_
+        B[np.repeat(np.arange(n), lens), bidx] = bw
+        dense = B @ qd_  # n x 768 @ 768 x Q
+        # lexical: sparse gather of query-term rows, summed per chunk in bounded slices
+        lens, tidx, tw = _flat(pdf["t"], pdf["tw"])
+        rows = np.repeat(np.arange(n), lens)
+        lex = np.zeros((n, nq))
+        step = max(1, 8_000_000 // max(nq, 1))
+        for s0 in range(0, len(tidx), step):
+            r, ti, w = rows[s0:s0 + step], tidx[s0:s0 + step], tw[s0:s0 + step]
+            starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+            lex[r[starts]] += np.add.reduceat(ql_[ti] * w[:, None], starts, axis=0)
+        return dense, lex
 
     def stats_pass(batches):
         qi = bc.value[0]
