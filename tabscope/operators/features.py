@@ -147,7 +147,7 @@ LABELS_Q5 = ["xs", "s", "m", "l", "xl"]
 def quantile_label(df: DataFrame, x: str, labels: Sequence[str] = LABELS_Q4) -> Column:
     """Quantile bin with labels (q = number of labels)."""
     code = quantile_bin(df, x, len(labels))
-    return F.element_at(F.array(*[F.lit(s) for s in labels]), code + 1)
+    return F.element_at(F.array(*[F.lit(s) for s in labels]), (code + 1).cast("int"))
 
 
 def equal_width_bin(df: DataFrame, x: str, q: int) -> Column:
