@@ -54,9 +54,9 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def with_defaults(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """The named columns of ``df``, cast to the given types; extra columns are left out."""
-    return df.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()))
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """UTF-8 bytes of a text column."""
+    return int(df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0)
 
 
 def words_of(text: str | None) -> list[bytes]:
