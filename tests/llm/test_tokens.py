@@ -1,4 +1,5 @@
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -16,9 +17,15 @@ SF = "/root/testdata/sf0.001"
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 
-def whole(name, text, end):
+@lru_cache
+def tokenizer(name):
     t = Tokenizer.from_file(P.path(name))
     t.encode_special_tokens = True
+    return t
+
+
+def whole(name, text, end):
+    t = tokenizer(name)
     return np.array(t.encode(text or "", add_special_tokens=False).ids + [end], dtype="<u4")
 
 
