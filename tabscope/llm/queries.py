@@ -26,12 +26,27 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replace_entities
+    return replace_entities(_table(spark, sf_dir, "documents"), count_into="n_entities")
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_table
+    return mix_table(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_classes
     return simhash_classes(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_quality_rules, op2_token_files, op4_best_fit_packing, op10_simhash]
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = [op1_quality_rules, op2_token_files, op4_best_fit_packing, op8_pii_surrogates, op9_mix_sources, op10_simhash, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -39,4 +54,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import mixing
+    return {"op9_mix_sources": mixing.ORACLE.format(docs="documents")}
