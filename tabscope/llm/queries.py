@@ -21,11 +21,31 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(_table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .covertree import near_duplicates
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import filter_urls
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import languages
+    return languages(_table(spark, sf_dir, "documents"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import main_text
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import replace_entities
     return replace_entities(_table(spark, sf_dir, "documents"), count_into="n_entities")
@@ -46,7 +66,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = [op1_quality_rules, op2_token_files, op4_best_fit_packing, op8_pii_surrogates, op9_mix_sources, op10_simhash, pipeline]
+QUERIES = [op1_quality_rules, op2_token_files, op3_embedding_near_dedup, op4_best_fit_packing, op5_url_filters, op6_language_id,
+           op7_html_extraction, op8_pii_surrogates, op9_mix_sources, op10_simhash, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
