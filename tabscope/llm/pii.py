@@ -39,6 +39,20 @@ PATTERNS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
+#: Every match holds a digit, @, = or :, one of these key starts, or a title or given name; a text without is not searched
+#: by PATTERN. The look-ahead lets a position go by its character alone.
+KEY_STARTS = ["sk-", "ghp_", "AKIA", "xox"]
+_INITIALS = "".join(sorted({t[0] for t in f"{_TITLE}|{_GIVEN}".split("|")}))
+NAME_GATE = rf"(?=[{_INITIALS}])(?<!\p{{L}})(?:{_TITLE}|{_GIVEN})[. ]"
+
+
+def may_hold(text: Column) -> Column:
+    out = text.rlike("[0-9@=:]")
+    for start in KEY_STARTS:
+        out = out | text.contains(start)
+    return out | text.rlike(NAME_GATE)
+
+
 #: Fixed value: number ranges and lengths of the card schemes.
 CARD = (r"^(?:4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}"
         r"|6(?:011|5\d\d|4[4-9]\d)\d{12}|35(?:2[89]|[3-8]\d)\d{12}|3(?:0[0-5]|[68]\d)\d{11})$")
@@ -219,7 +233,8 @@ def replace_entities(docs: DataFrame, key: str = "surrogates-1", text: str = "te
     while any(c.startswith(p) for c in docs.columns):
         p += "_"
     found, by = f"{p}found", f"{p}by"
-    scanned = docs.withColumn(found, F.coalesce(F.regexp_extract_all(F.col(text).cast("string"), F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")))
+    scanned = docs.withColumn(found, F.when(
+        may_hold(F.col(text)), F.regexp_extract_all(F.col(text).cast("string"), F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))
 
     def parsed(matches: Column) -> Column:
         with_kind = F.transform(matches, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
