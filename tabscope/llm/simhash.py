@@ -16,6 +16,8 @@ from .graph import components, local_roots
 SEED = 42
 #: Fingerprints of one shard that one task holds as a tree; larger shards are dealt into blocks of about this size.
 BLOCK = 4096
+#: Rejected doc_ids up to which they are sent to the documents (8 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -194,7 +196,9 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     Rows that repeat one doc_id leave one row; rows with a null doc_id stay, as nothing names them.
     """
     classes = materialize(simhash_classes(docs, shingle, radius).select("doc_id", "component_id"), "simhash-keep")
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = materialize(classes.where("doc_id <> component_id").select("doc_id").distinct(), "simhash-gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     twice = classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     if twice.isEmpty():
