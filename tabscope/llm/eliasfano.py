@@ -83,15 +83,18 @@ class EliasFano:
 
 
 def pack_file(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
-    """One token file: magic, null ids, smallest id, coded document ids, coded end offsets, then the id array.
+    """One token file: magic, null ids, smallest id, bytes per token, coded document ids, coded end offsets, the id array.
 
-    ``doc_ids`` ascend, nulls first; ``ids`` holds each document's little-endian 32-bit ids.
+    ``doc_ids`` ascend, nulls first; ``ids`` holds each document's little-endian 32-bit ids. The file keeps two bytes a
+    token where all its ids fit, else four.
     """
     known = np.array([d for d in doc_ids if d is not None], dtype=np.int64)
     base = int(known[0]) if len(known) else 0
     coded = EliasFano.of((known - base).astype(np.uint64)).to_bytes()
     ends = EliasFano.of(np.cumsum([len(x) // 4 for x in ids])).to_bytes()
-    return MAGIC + struct.pack("<Qq", len(doc_ids) - len(known), base) + coded + ends + b"".join(ids)
+    tokens = np.frombuffer(b"".join(ids), "<u4")
+    width = 2 if not len(tokens) or tokens.max() < 1 << 16 else 4
+    return MAGIC + struct.pack("<QqB", len(doc_ids) - len(known), base, width) + coded + ends + tokens.astype(f"<u{width}").tobytes()
 
 
 class TokenFile:
@@ -100,10 +103,10 @@ class TokenFile:
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a token file")
-        self.nulls, self.base = struct.unpack_from("<Qq", data, 8)
-        self.known, at = EliasFano.from_bytes(data, 24)
+        self.nulls, self.base, width = struct.unpack_from("<QqB", data, 8)
+        self.known, at = EliasFano.from_bytes(data, 8 + struct.calcsize("<QqB"))
         self.ends, at = EliasFano.from_bytes(data, at)
-        self.ids = np.frombuffer(data, "<u4", offset=at)
+        self.ids = np.frombuffer(data, f"<u{width}", offset=at)
 
     def __len__(self) -> int:
         return self.ends.n
@@ -194,7 +197,7 @@ def read_tokens(spark: SparkSession, files: DataFrame, folder: str, keep_ids: bo
             for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with fs.open_input_stream(path) as f:
                     token_file = TokenFile(f.read())
-                rows = [(d, before + start, len(ids), zlib.crc32(ids.tobytes()), ids) for d, start, ids in token_file.rows()]
+                rows = [(d, before + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ids) for d, start, ids in token_file.rows()]
                 cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
                 if keep_ids:
                     cols.append(pa.array([r[4].astype(np.int64) for r in rows], pa.list_(pa.int64())))

@@ -51,6 +51,11 @@ def test_elias_fano_is_small_and_selects():
     assert [ef.select(i) for i in (0, 511, 512, 513, 19999)] == ends[[0, 511, 512, 513, 19999]].tolist()
 
 
+def test_wide_ids_keep_four_bytes():
+    ids = [np.array([1, 70000], dtype="<u4").tobytes(), np.array([2], dtype="<u4").tobytes()]
+    assert [x.tolist() for _, _, x in TokenFile(pack_file([0, 1], ids)).rows()] == [[1, 70000], [2]]
+
+
 def test_token_file():
     ids = [np.arange(n, dtype="<u4").tobytes() for n in (1, 5, 2, 0, 3)]
     f = TokenFile(pack_file([None, -7, -7, 4, 2**40], ids))
