@@ -104,58 +104,94 @@ class Joined:
     def __init__(self, a: CoverTree, b: CoverTree, wa: np.ndarray, wb: np.ndarray, cosine: float, rows: int = 512):
         self.a, self.b, self.cosine, self.tau = a, b, cosine, float(np.sqrt(2 - 2 * cosine))
         self.na, self.nb = len(a.x), len(b.x)
+        self.a32, self.b32 = a.x.astype(np.float32), b.x.astype(np.float32)
+        self.single = (a.x.shape[1] + 8) * 2.0 ** -22  # more than the error of a cosine in single precision
         self.sum_a, self.sum_b = np.r_[0, np.cumsum(wa[a.order])], np.r_[0, np.cumsum(wb[b.order])]
         self.add_a, self.add_b = np.zeros(self.na + 1, dtype=np.int64), np.zeros(self.nb + 1, dtype=np.int64)
         self.chain_a, self.chain_b = np.zeros(self.na + 1, dtype=np.int64), np.zeros(self.nb + 1, dtype=np.int64)
         self.label = np.arange(self.na + self.nb)
         depth = max(len(a.levels), len(b.levels))
         level = lambda tree, k: tree.levels[min(k, len(tree.levels) - 1)]
-        open_: dict[int, list[np.ndarray]] = {}  # per node of a, the nodes of b that it is still to be compared with
-        self._compare(level(a, 0), level(b, 0), np.array([0]), np.array([0]), open_, depth == 1)
+        root = np.array([0])
+        open_a, open_b = self._compare(level(a, 0), level(b, 0), root, root, root, root, np.ones((1, 1), dtype=bool))
         for k in range(depth - 1):
-            here_a, here_b, keep = level(a, k), level(b, k), {}
-            below_a, below_b = level(a, k + 1), level(b, k + 1)
-            last = k + 2 >= depth
-            for i, js in ((i, np.concatenate(js)) for i, js in open_.items()):
-                going_a = np.arange(here_a[3][i], here_a[4][i]) if k + 1 < len(a.levels) else np.array([i])
-                going_b = np.concatenate([np.arange(here_b[3][j], here_b[4][j]) for j in js]) if k + 1 < len(b.levels) else js
-                for at in range(0, len(going_a), rows):
-                    self._compare(below_a, below_b, going_a[at:at + rows], going_b, keep, last)
-            open_ = keep
+            # open_a (sorted), open_b: the pairs of nodes of this level whose children are still to be compared
+            parents, at = np.unique(open_a, return_inverse=True)
+            ia, own_a = _children(a, k, parents)
+            found = []
+            for lo in range(0, len(ia), rows):
+                some, own = ia[lo:lo + rows], own_a[lo:lo + rows]
+                here = slice(np.searchsorted(at, own[0]), np.searchsorted(at, own[-1], side="right"))
+                others, col = np.unique(open_b[here], return_inverse=True)
+                still = np.zeros((own[-1] - own[0] + 1, len(others)), dtype=bool)
+                still[at[here] - own[0], col] = True
+                ib, own_b = _children(b, k, others)
+                found.append(self._compare(level(a, k + 1), level(b, k + 1), some, ib, own - own[0], own_b, still))
+            if not found:
+                break
+            open_a, open_b = (np.concatenate(x) for x in zip(*found))
+            by = np.argsort(open_a, kind="stable")
+            open_a, open_b = open_a[by], open_b[by]
         for chain, base, n in ((self.chain_a, 0, self.na), (self.chain_b, self.na, self.nb)):
             at = base + np.flatnonzero(np.cumsum(chain[:n]) > 0)
             self.label = local_roots(len(self.label), at, at + 1, self.label)
 
-    def _compare(self, la, lb, ia, ib, keep, last):
-        """Prune, accept or keep open the node pairs ia x ib by their centres' distance and covering radii."""
+    def _compare(self, la, lb, ia, ib, own_a, own_b, still):
+        """Prune, accept or leave open the node pairs ia x ib by their centres' distance and covering radii.
+
+        Only pairs whose parents (``own_a``, ``own_b``) are ``still`` open count. Nodes without a radius are compared
+        apart from the others, as their bound is much tighter. Returns the pairs that stay open.
+        """
+        left = [(ia[:0], ib[:0])]
+        for na in (la[2][ia] == 0, la[2][ia] > 0):
+            for nb in (lb[2][ib] == 0, lb[2][ib] > 0):
+                if na.any() and nb.any():
+                    left.append(self._settle(la, lb, ia[na], ib[nb], own_a[na], own_b[nb], still))
+        return tuple(np.concatenate(x) for x in zip(*left))
+
+    def _settle(self, la, lb, ia, ib, own_a, own_b, still):
         sa, ea, ra = la[0][ia], la[1][ia], la[2][ia]
         sb, eb, rb = lb[0][ib], lb[1][ib], lb[2][ib]
-        dot = self.a.x[sa] @ self.b.x[sb].T
-        far, spread = np.sqrt(np.maximum(2 - 2 * dot, 0)), ra[:, None] + rb[None, :]
+        reach = min(self.tau + SLACK + ra.max() + rb.max(), 2.0)
+        i, j = np.nonzero(self.a32[sa] @ self.b32[sb].T >= 1 - reach * reach / 2 - self.single)  # what the widest bound leaves
+        open_ = still[own_a[i], own_b[j]]
+        i, j = i[open_], j[open_]
+        if not len(i):
+            return ia[:0], ib[:0]
+        if len(i) * 8 > len(ia) * len(ib):
+            dot = (self.a.x[sa] @ self.b.x[sb].T)[i, j]
+        else:
+            dot = np.einsum("ij,ij->i", self.a.x[sa[i]], self.b.x[sb[j]])
+        far, spread = np.sqrt(np.maximum(2 - 2 * dot, 0)), ra[i] + rb[j]
         linked = np.where(spread == 0, dot >= self.cosine, far + spread <= self.tau - SLACK)
         if linked.any():
-            total_b, total_a = self.sum_b[eb] - self.sum_b[sb], self.sum_a[ea] - self.sum_a[sa]
-            for add, s, e, total in ((self.add_a, sa, ea, linked @ total_b), (self.add_b, sb, eb, total_a @ linked)):
+            li, lj = i[linked], j[linked]
+            for add, chain, s, e, mine, other in (
+                    (self.add_a, self.chain_a, sa, ea, li, (self.sum_b[eb] - self.sum_b[sb])[lj]),
+                    (self.add_b, self.chain_b, sb, eb, lj, (self.sum_a[ea] - self.sum_a[sa])[li])):
+                total = np.zeros(len(s), dtype=np.int64)
+                np.add.at(total, mine, other)
                 np.add.at(add, s, total)
                 np.add.at(add, e, -total)
-            for chain, s, e, any_ in ((self.chain_a, sa, ea, linked.any(axis=1)), (self.chain_b, sb, eb, linked.any(axis=0))):
-                np.add.at(chain, s[any_], 1)
-                np.add.at(chain, e[any_] - 1, -1)
-            i, j = np.nonzero(linked)
-            self.label = local_roots(len(self.label), sa[i], self.na + sb[j], self.label)
-        if not last:
-            i, j = np.nonzero(~linked & (spread > 0) & (far - spread <= self.tau + SLACK))
-            for node, part in zip(*_split(i, j)):
-                keep.setdefault(int(ia[node]), []).append(ib[part])
+                hit = np.unique(mine)
+                np.add.at(chain, s[hit], 1)
+                np.add.at(chain, e[hit] - 1, -1)
+            self.label = local_roots(len(self.label), sa[li], self.na + sb[lj], self.label)
+        open_ = ~linked & (spread > 0) & (far - spread <= self.tau + SLACK)
+        return ia[i[open_]], ib[j[open_]]
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """Linked weight of each vector of a and of b, in their trees' order."""
         return np.cumsum(self.add_a[:-1]), np.cumsum(self.add_b[:-1])
 
 
-def _split(i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-    nodes, first = np.unique(i, return_index=True)
-    return nodes.tolist(), np.split(j, first[1:])
+def _children(tree: CoverTree, k: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Children of nodes of level ``k`` (of a tree's last level: the nodes) and for each the index of its parent in ``nodes``."""
+    if k + 1 >= len(tree.levels):
+        return nodes, np.arange(len(nodes))
+    first, n = tree.levels[k][3][nodes], tree.levels[k][4][nodes] - tree.levels[k][3][nodes]
+    own = np.repeat(np.arange(len(nodes)), n)
+    return np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + first[own], own
 
 
 def _unit(rows: list[np.ndarray]) -> np.ndarray:
