@@ -46,14 +46,14 @@ def train_test_split(df: DataFrame, keys: Sequence[str], test_frac: float = TEST
                      seed: int = 42) -> DataFrame:
     """M1: adds ``is_test``. Plain: hash bucket. Stratified: the first round(frac * n_c) rows of each class
     in hash order (a per-class position from the skew-safe prefix scan)."""
-    from .window import row_index
+    from .window import join_on, row_index
     h = key_hash(keys, seed)
     if stratify is None:
         return df.withColumn("is_test", (h % 1000) < int(round(test_frac * 1000)))
     x = df.withColumn("_h", h)
     n = x.groupBy(stratify).agg(F.count(F.lit(1)).alias("_nc"))
     x = row_index(x, ["_h", *keys], [stratify], "_pos", skew_safe=True)
-    x = x.join(F.broadcast(n), stratify)  # one row per class
+    x = join_on(x, n, [stratify])  # one row per class
     return x.withColumn("is_test", F.col("_pos") < F.round(F.col("_nc") * test_frac)).drop("_h", "_pos", "_nc")
 
 

@@ -120,7 +120,7 @@ def scan_exploit_patterns(df: DataFrame, id_col: str, text_col: str, rules=EXPLO
 
 
 def _version_array(v: Column) -> Column:
-    return F.transform(F.split(v, r"\."), lambda x: x.cast("int"))
+    return F.transform(F.split(v, r"\."), lambda x: x.try_cast("int"))
 
 
 def scan_requirements(df: DataFrame, id_col: str, text_col: str, advisories=ADVISORIES) -> DataFrame:

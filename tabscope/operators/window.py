@@ -26,6 +26,15 @@ def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in (xs or [])]
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which a null key equals a null key; ``right`` adds its other columns."""
+    named = right.select(*[F.col(k).alias(f"_on_{k}") if k in keys else F.col(k) for k in right.columns])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_on_{k}"))
+    return left.join(named, cond, how).drop(*[f"_on_{k}" for k in keys])
+
+
 def _n_parts(df: DataFrame, partitions: int | None) -> int:
     if partitions:
         return partitions
@@ -47,7 +56,7 @@ def _indexed(st: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> Dat
     wo = (Window.partitionBy(*k) if k else Window.partitionBy()).orderBy("_pid").rowsBetween(_UNB, -1)
     offs = cnt.select("_pid", *k, "_cnt", F.coalesce(F.sum("_cnt").over(wo), F.lit(0)).alias("_start"))
     w = Window.partitionBy("_pid", *k).orderBy(*order_by)
-    return st.join(offs, ["_pid", *k]).withColumn("_g", F.col("_start") + F.row_number().over(w) - 1)
+    return join_on(st, offs, ["_pid", *k]).withColumn("_g", F.col("_start") + F.row_number().over(w) - 1)
 
 
 def prefix_scan(df: DataFrame, order_by: Sequence[str], value: Column | None = None, out: str = "cum",
@@ -63,7 +72,7 @@ def prefix_scan(df: DataFrame, order_by: Sequence[str], value: Column | None = N
     wo = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_pid").rowsBetween(_UNB, -1)
     offs = tot.select("_pid", *keys, F.sum("_tot").over(wo).alias("_off"))
     w = Window.partitionBy("_pid", *keys).orderBy(*order_by).rowsBetween(_UNB, 0)
-    j = st.join(offs, ["_pid", *keys])
+    j = join_on(st, offs, ["_pid", *keys])
     # null offset = first partition of the key; null running sum (all-null values so far) stays null
     run = F.sum("_v").over(w)
     res = F.when(run.isNull(), F.col("_off")).when(F.col("_off").isNull(), run).otherwise(F.col("_off") + run)
@@ -88,7 +97,7 @@ def _rolling_staged(df: DataFrame, specs: dict[str, tuple[str, Column, int]], or
         starts = (st.select("_pid", *keys, "_start").distinct()
                   .groupBy(*keys).agg(F.collect_list(F.struct("_pid", "_start")).alias("_starts")))
         # only the last n-1 rows of a partition can be needed by a later one
-        tail = st.where(F.col("_g") >= F.col("_start") + F.col("_cnt") - (n_max - 1)).join(starts, keys) \
+        tail = join_on(st.where(F.col("_g") >= F.col("_start") + F.col("_cnt") - (n_max - 1)), starts, keys) \
             if keys else st.where(F.col("_g") >= F.col("_start") + F.col("_cnt") - (n_max - 1)) \
             .withColumn("_starts", starts.select("_starts").scalar())
         halo = tail.select(*[c for c in base_cols if c != "_pid"], F.explode(F.filter(

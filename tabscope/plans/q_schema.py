@@ -119,7 +119,8 @@ def _all_meta(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-ALL_META_SQL = "(SELECT table_name, column_name AS \"column\" FROM information_schema.columns)"
+ALL_META_SQL = ("(SELECT table_name, column_name AS \"column\" FROM information_schema.columns WHERE table_name IN ("
+                + ", ".join(f"'{n}'" for n in TABLES) + "))")
 
 
 def _role_case_sql():

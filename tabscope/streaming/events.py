@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import token_estimate
+from ..operators.window import join_on
 
 # Dedup windows (seconds), default rate limits, routing table, flow keywords.
 DEDUP_WINDOW_S = 1.5
@@ -83,23 +84,24 @@ def dedup_within(df: DataFrame, keys: Sequence[str], ts: str = "ts", order: str
     times marks the accepted ones (the order column breaks ties).
     """
     wus = int(round(window_s * 1_000_000))
+    id_type = df.schema[order].dataType.simpleString()
     seg = _segments(df, keys, ts, order, wus, skew_safe)
     g = seg.groupBy(*keys, "_seg").agg(F.sort_array(F.collect_list(F.struct("_t", F.col(order).alias("_o")))).alias("_ev"))
-    init = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("keep"))
+    init = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{id_type}>").alias("keep"))
 
     def step(acc, e):
         ok = acc["last"].isNull() | (e["_t"] - acc["last"] >= wus)
         return F.struct(F.when(ok, e["_t"]).otherwise(acc["last"]).alias("last"),
-                        F.when(ok, F.concat(acc["keep"], F.array(e["_o"].cast("long")))).otherwise(acc["keep"]).alias("keep"))
+                        F.when(ok, F.concat(acc["keep"], F.array(e["_o"]))).otherwise(acc["keep"]).alias("keep"))
 
-    kept = g.select(F.explode(F.aggregate("_ev", init, step, lambda a: a["keep"])).alias("_k"))
-    return df.join(kept, df[order].cast("long") == kept["_k"], "left_semi")
+    kept = g.select(*keys, F.explode(F.aggregate("_ev", init, step, lambda a: a["keep"])).alias(order))
+    return join_on(df, kept, [*keys, order], "left_semi")
 
 
 def dedup_seen(df: DataFrame, keys: Sequence[str], ts: str = "ts", order: str = "event_id") -> DataFrame:
     """Drop repeats of the key forever: the earliest event per key (partial aggregation, no key-sized group)."""
     first = df.groupBy(*keys).agg(F.min_by(F.col(order), F.struct(F.col(ts), F.col(order))).alias("_first"))
-    return df.join(first.select("_first"), df[order] == first["_first"], "left_semi")
+    return join_on(df, first.withColumnRenamed("_first", order), [*keys, order], "left_semi")
 
 
 # ---------------------------------------------------------------- E4-E6
@@ -282,7 +284,7 @@ def stream_dedup_within(stream: DataFrame, keys: Sequence[str], ts: str = "ts",
                 keep.append(o)
                 last = t
         state.update((int(last),))
-        state.setTimeoutTimestamp(int(last // 1000) + 3_600_000)
+        state.setTimeoutTimestamp(int(last // 1000) + wus // 1000)  # fires once the watermark has passed the window
         yield pd.DataFrame({order: pd.Series(keep, dtype="int64")})
 
     return x.groupBy(*keys).applyInPandasWithState(fn, out_schema, "last long", "append",
