@@ -15,6 +15,12 @@ CACHE = 450_000
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 
 
+def odd_space(text: str) -> bool:
+    if text.isascii():
+        return any(c in text for c in "\x1c\x1d\x1e\x1f")
+    return ODD_SPACE.search(text) is not None
+
+
 class Encoder:
     """Ids of whole texts by a ``tokenizers`` BPE file, equal to ``encode(text, add_special_tokens=False)``.
 
@@ -38,12 +44,12 @@ class Encoder:
         pre, norm = spec["pre_tokenizer"], spec["normalizer"]
         self.units, self.pieces = {}, {}
         self.normal = None
-        self.unit = None
+        self.split = None
         if spec["model"]["type"] == "BPE" and norm is None and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
-            self.unit, self.piece = re.compile(r"\s*\S+|\s+"), regex.compile(public_tokenizers.PATTERN)
+            self.split, self.piece = re.compile(r"\s*\S+|\s+").findall, regex.compile(public_tokenizers.PATTERN)
         elif (spec["model"]["type"] == "BPE" and norm and [n["type"] for n in norm["normalizers"]] == ["NFC", "Replace", "Lowercase"]
               and pre["type"] == "Sequence" and [p["type"] for p in pre["pretokenizers"]] == ["Split", "ByteLevel"]):
-            self.unit, self.piece = re.compile(r"\S+"), regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"])
+            self.split, self.piece = str.split, regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"])
             self.normal = self.whole.normalizer.normalize_str
         self.token = self.whole.model.tokenize
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the byte-level alphabet keeps
@@ -71,14 +77,11 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit integers (null: none)."""
         if not text:
             return b""
-        if self.unit is None or ODD_SPACE.search(text):
+        if self.split is None or odd_space(text):
             ids = self.whole.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        get, out = self.units.get, []
-        for u in self.unit.findall(text):
-            ids = get(u)
-            out.append(self._unit(u) if ids is None else ids)
-        return b"".join(out)
+        get, new = self.units.get, self._unit
+        return b"".join([get(u) or new(u) for u in self.split(text)])
 
 
 @lru_cache(maxsize=4)
