@@ -9,7 +9,7 @@ from array import array
 from functools import lru_cache
 
 #: Units and pieces that one worker keeps; a full cache is dropped and filled anew.
-CACHE = 300_000
+CACHE = 350_000
 
 #: White space (or what one of the pattern engines takes for it) beyond space, \t, \n, \v, \f, \r.
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
