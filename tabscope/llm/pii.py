@@ -22,6 +22,8 @@ SYLLABLES = {"latin": ["ba", "de", "fi", "go", "lu", "ma", "ne", "ri", "so", "tu
 
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _GIVEN = "|".join(n for ns in GIVEN.values() for n in ns)
+#: What a group of digits after another one may not start: an IPv4 address, or an e-mail address.
+_OWN = r"(?!(?:\d{1,3}\.){3}\d)(?![\p{L}\p{N}_.+-]{1,64}+@)"
 _CAP = r"\p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)?"
 #: What is looked for, in the order in which a place is tried. Every pattern starts at a character that none of its own
 #: runs can stand before, or is bounded, so a text is read in time proportional to its length.
@@ -30,14 +32,16 @@ PATTERNS = {
     "secret": r"(?<!\p{L})(?i:token|secret|password|passwd|api_?key|access_?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_+/=-]{16,512}"
               r"|(?<![\p{L}\p{N}])(?:sk-|ghp_|AKIA|xox[bp]-)[A-Za-z0-9_-]{16,512}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
+    "card": rf"(?<![\p{{L}}\d])(?=(?:\d[ -]?){{12}}\d)\d++(?!\p{{L}})(?:[ -]{_OWN}\d++(?!\p{{L}}))*+",  # any digit groups: see pieces_of
     "phone": r"(?<![\p{L}\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,8}(?:[ .-]\d{2,8}){1,4}(?!\d)"
              r"|(?<![\p{L}\d])(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-.]\d{4}(?!\d)",
     "ssn": r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\p{L}\d])(?:\d[ -]?){12,18}\d(?![\p{L}\d])",
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
     "name": rf"(?<!\p{{L}})(?:(?:{_TITLE})\b\.? {_CAP}(?: {_CAP})?|(?:{_GIVEN}) {_CAP})(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What is looked for in the digit groups beside a card.
+BESIDE = "|".join(f"(?:{p})" for kind, p in PATTERNS.items() if kind != "card")
 
 #: Every match holds a digit, @, = or :, one of these key starts, or a title or given name; a text without is not searched
 #: by PATTERN. The look-ahead lets a position go by its character alone.
@@ -57,6 +61,9 @@ def may_hold(text: Column) -> Column:
 CARD = (r"^(?:4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}"
         r"|6(?:011|5\d\d|4[4-9]\d)\d{12}|35(?:2[89]|[3-8]\d)\d{12}|3(?:0[0-5]|[68]\d)\d{11})$")
 
+#: Fixed value: digit groups in which cards are printed.
+GROUPINGS = ["4-4-4-4", "4-6-5", "4-6-4", "4-4-4-4-3", "4-4-4-1"]
+
 #: Rounds of collision checks before the operator gives up (each halves a name space that is half full).
 MAX_ROUNDS = 64
 
@@ -72,16 +79,90 @@ def luhn(v: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+def is_card(digits: Column) -> Column:
+    """Whether digits are a card number: in a scheme's range, with a valid check digit."""
+    return F.length(digits).between(13, 19) & digits.rlike(CARD) & luhn(digits)
+
+
 def kind_of(match: Column) -> Column:
-    """Kind of a match, null for one that fails its kind's check (a card number needs a scheme's range and its check digit)."""
+    """Kind of a match, null for none; ``card`` for digit groups, of which any, some or none may be cards (``pieces_of``)."""
     out = None
     for kind, pattern in PATTERNS.items():
         hit = match.rlike(rf"^(?:{pattern})$")
-        hit = hit & _digits(match).rlike(CARD) & luhn(match) if kind == "card" else hit
         out = F.when(hit, F.lit(kind)) if out is None else out.when(hit, F.lit(kind))
     return out
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _apart(windows: Column) -> Column:
+    """Of windows (first, short, last, ...) in their order those that overlap none taken before."""
+    start = F.filter(windows, lambda w: F.lit(False))
+    return F.aggregate(windows, start, lambda a, w: F.when(
+        (F.size(a) == 0) | (w["first"] > F.try_element_at(a, F.lit(-1))["last"]), F.concat(a, F.array(w))).otherwise(a))
+
+
+def _cards(run: Column, n: Column) -> Column:
+    """Windows (first, short, last, odd) of whole groups that are card numbers, none overlapping another, by place.
+
+    Where several do, one in a printed grouping (or one group, or all ``n`` groups) goes before others, then the first,
+    then the longest. Windows are sought in the next 20 digits of each group, so long runs take linear time.
+    """
+    def window(near, i, j):
+        inner = F.slice(near, F.lit(1), j)
+        shape = F.array_join(F.transform(inner, lambda g: F.length(g).cast("string")), "-")
+        odd = ~((j == 1) | ((i == 0) & (j == n)) | shape.isin(GROUPINGS))
+        return F.struct((i + 1).alias("first"), (-j).alias("short"), (i + j).alias("last"), odd.alias("odd"), F.array_join(inner, "").alias("digits"))
+
+    def from_group(ahead, i):
+        return _let(F.split(ahead, "[ -]"), lambda near: F.filter(F.transform(
+            F.sequence(F.lit(1), F.size(near)), lambda j: window(near, i, j)), lambda w: is_card(w["digits"])))
+
+    nexts = F.regexp_extract_all(run, F.lit(r"(?<!\d)(?=((?:[ -]?\d){13,20}))\d++"), F.lit(1))
+    every = F.flatten(F.transform(nexts, from_group))
+
+    def chosen(ws):
+        plain = _apart(F.filter(ws, lambda w: ~w["odd"]))
+        return _let(plain, lambda ps: F.sort_array(F.concat(ps, _apart(F.filter(ws, lambda w: w["odd"] & ~F.exists(
+            ps, lambda q: (q["first"] <= w["last"]) & (w["first"] <= q["last"])))))))
+    return _let(F.sort_array(every), chosen)
+
+
+def _beside(text: Column) -> Column:
+    """Pieces (m, kind) of the digit groups between cards: what the other patterns find, and the rest."""
+    none = F.lit(None).cast("string")
+    zipped = F.arrays_zip(F.split(text, BESIDE, -1).alias("a"), F.regexp_extract_all(text, F.lit(BESIDE), F.lit(0)).alias("b"))
+    return F.flatten(F.transform(zipped, lambda z: F.array(
+        F.struct(z["a"].alias("m"), none.alias("kind")),
+        F.struct(F.coalesce(z["b"], F.lit("")).alias("m"), F.when(z["b"].isNotNull(), kind_of(z["b"])).alias("kind")))))
+
+
+def _split_groups(run: Column) -> Column:
+    """Pieces (m, kind) of digit groups one blank or hyphen apart: the cards among them, and what stands beside."""
+    def cut(groups):
+        def length(to):  # of the first groups and the separators after them
+            return F.aggregate(F.slice(groups, F.lit(1), to), F.lit(0), lambda a, g: a + F.length(g) + 1)
+
+        def pieces(cards):
+            ends = F.transform(cards, lambda w: F.struct(length(w["first"] - 1).alias("a"), (length(w["last"]) - 1).alias("b")))
+            return _let(ends, lambda es: F.concat(
+                F.flatten(F.transform(es, lambda e, k: F.concat(
+                    _let(F.when(k > 0, F.try_element_at(es, k)["b"]).otherwise(F.lit(0)), lambda at: _beside(F.substr(run, at + 1, e["a"] - at))),
+                    F.array(F.struct(F.substr(run, e["a"] + 1, e["b"] - e["a"]).alias("m"), F.lit("card").alias("kind")))))),
+                _beside(F.substr(run, F.coalesce(F.try_element_at(es, F.lit(-1))["b"], F.lit(0)) + 1))))
+        return _let(_cards(run, F.size(groups)), pieces)
+    return _let(F.regexp_extract_all(run, F.lit("[0-9]+"), F.lit(0)), cut)
+
+
+def pieces_of(match: Column) -> Column:
+    """A match as pieces (m, kind) that make it up; kind is null for a piece that is no entity."""
+    return _let(kind_of(match), lambda kind: F.when(kind == "card", _split_groups(match)).otherwise(
+        F.array(F.struct(match.alias("m"), kind.alias("kind")))))
+
+
 def _secret_head(match: Column) -> Column:
     """What stands before the secret itself: the label, or the fixed start of a known key."""
     return F.regexp_extract(match, r"^((?:[A-Za-z_]+\s{0,2}[=:]\s{0,2}[\"']?)|sk-|ghp_|AKIA|xox[bp]-)", 1)
@@ -237,20 +318,21 @@ def replace_entities(docs: DataFrame, key: str = "surrogates-1", text: str = "te
         may_hold(F.col(text)), F.regexp_extract_all(F.col(text).cast("string"), F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))
 
     def parsed(matches: Column) -> Column:
-        with_kind = F.transform(matches, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-        return F.transform(with_kind, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), units_of(s["m"], s["kind"]).alias("units")))
+        return F.transform(matches, lambda m: F.transform(pieces_of(m), lambda s: F.struct(
+            s["m"].alias("m"), s["kind"].alias("kind"), units_of(s["m"], s["kind"]).alias("units"))))
 
     hits = scanned.where(F.size(found) > 0).select(F.sha2(F.col(text), 256).alias(by), F.col(found).alias(found))
-    each = materialize(hits.select(by, F.explode(F.array_distinct(F.flatten(F.transform(parsed(F.col(found)), lambda s: s["units"])))).alias("unit")).distinct(), "pii-units")
+    each = materialize(hits.select(by, F.explode(F.array_distinct(F.flatten(F.transform(F.flatten(parsed(F.col(found))), lambda s: s["units"])))).alias("unit")).distinct(), "pii-units")
     table = assign(each.select("unit").distinct(), key)
     maps = (each.join(table, "unit").groupBy(by).agg(F.map_from_entries(F.collect_set(F.struct("unit", "surrogate"))).alias(f"{p}map")))
     plain = scanned.where(F.size(found) == 0)
     with_maps = (scanned.where(F.size(found) > 0).withColumn(by, F.sha2(F.col(text), 256)).join(maps, by, "left")
                  .withColumn(f"{p}map", F.coalesce(F.col(f"{p}map"), F.create_map().cast("map<string,string>"))))
     parts = F.split(F.col(text), PATTERN, -1)
-    new = F.transform(parsed(F.col(found)), lambda s: rendered(s["m"], s["kind"], s["units"], F.col(f"{p}map"), key))
+    new = F.transform(parsed(F.col(found)), lambda pieces: F.array_join(F.transform(
+        pieces, lambda s: rendered(s["m"], s["kind"], s["units"], F.col(f"{p}map"), key)), ""))
     whole = F.array_join(F.transform(F.arrays_zip(parts.alias("a"), new.alias("b")), lambda z: F.concat(z["a"], F.coalesce(z["b"], F.lit("")))), "")
-    counted = F.size(F.filter(F.transform(F.col(found), kind_of), lambda k: k.isNotNull())).cast("long")
+    counted = F.size(F.filter(F.flatten(F.transform(F.col(found), pieces_of)), lambda s: s["kind"].isNotNull())).cast("long")
     with_maps = with_maps.withColumn(f"{p}new", whole).withColumn(f"{p}n", counted)
 
     def out(df: DataFrame, changed: bool) -> DataFrame:

@@ -55,6 +55,23 @@ def test_surrogates(spark):
     assert other != got[3][0].text
 
 
+def test_cards_beside_other_digits(spark):
+    card = "4845168114407329"
+    texts = [f"card {card} 123", "4845 1681 1440 7329 12/27", f"ref 7 {card}", "ref 4 4845 1681 1440 7329 x", f"{card} {card}", f"12345 123-45-6789 {card} 12abc",
+             "48451681 14407329", "2023 07 988-555-2485 9", f"{card} 12345 97.51.17.173", "9807915762804490 123", "1 2 " * 20000 + card]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.replace_entities(df, count_into="n").orderBy("doc_id").collect()
+    got, n = [r.text for r in rows], [r.n for r in rows]
+    new = re.fullmatch(r"card (\d{16}) 123", got[0])[1]
+    spaced = " ".join(new[i:i + 4] for i in range(0, 16, 4))
+    assert luhn(new) and new != card and got[1] == f"{spaced} 12/27" and got[2] == f"ref 7 {new}" and got[3] == f"ref 4 {spaced} x"
+    assert got[4] == f"{new} {new}" and got[6] == f"{new[:8]} {new[8:]}" and got[9] == texts[9] and got[10] == "1 2 " * 20000 + new
+    assert re.fullmatch(rf"12345 9\d\d-\d\d-\d{{4}} {new} 12abc", got[5]) and "123-45-6789" not in got[5]
+    assert re.fullmatch(r"2023 07 \d{3}-555-\d{4} 9", got[7]) and "2485" not in got[7]
+    assert got[8].startswith(f"{new} 12345 ") and "97.51" not in got[8]
+    assert n == [1, 1, 1, 1, 2, 2, 1, 1, 2, 0, 1]
+
+
 def test_collisions_are_drawn_again(spark, monkeypatch):
     units = spark.createDataFrame([(f"ssn:{i}00-00-0000",) for i in range(10, 30)] + [("ssn:95",)], "unit string")
     monkeypatch.setattr(pii, "surrogate", lambda unit, key, attempt: (F.lit(90) + F.conv(F.substring(F.md5(F.concat_ws("|", unit, attempt.cast("string"))), 1, 6), 16, 10).cast("long") % 25).cast("string"))
