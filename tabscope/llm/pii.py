@@ -25,16 +25,25 @@ _GIVEN = "|".join(n for ns in GIVEN.values() for n in ns)
 #: What a group of digits after another one may not start: an IPv4 address, or an e-mail address.
 _OWN = r"(?!(?:\d{1,3}\.){3}\d)(?![\p{L}\p{N}_.+-]{1,64}+@)"
 _CAP = r"\p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)?"
+#: A dot inside a secret, not one that ends a sentence.
+_DOT = r"\.(?=[A-Za-z0-9_+/=-])"
+#: What may stand between two digits of a phone number.
+_GAP = r"(?:[ .-]|[ .-]?\(|\)[ .-]?)?"
+#: Fixed value: country codes whose national numbers have one length. Others have 8 to 15 digits in all.
+NATIONAL = {9: ["27", "31", "33", "34", "41", "48", "61", "351", "380", "420"], 10: ["1", "7", "52", "57", "63", "90", "91"], 8: ["45", "47", "65"]}
+_PLANS = "|".join(rf"(?:{'|'.join(codes)})(?:[ .-]?\(0\))?(?:{_GAP}\d){{{n}}}" for n, codes in NATIONAL.items())
 #: What is looked for, in the order in which a place is tried. Every pattern starts at a character that none of its own
 #: runs can stand before, or is bounded, so a text is read in time proportional to its length.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}_.+-])[\p{L}\p{N}_.+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": r"(?<!\p{L})(?i:token|secret|password|passwd|api_?key|access_?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_+/=-]{16,512}"
-              r"|(?<![\p{L}\p{N}])(?:sk-|ghp_|AKIA|xox[bp]-)[A-Za-z0-9_-]{16,512}",
+    "secret": rf"(?<!\p{{L}})(?i:token|secret|password|passwd|api_?key|access_?key)\s{{0,2}}[=:]\s{{0,2}}[\"']?(?:[A-Za-z0-9_+/=-]|{_DOT}){{16,}}+"
+              rf"|(?<![\p{{L}}\p{{N}}])(?:sk-|ghp_|AKIA|xox[bp]-)(?:[A-Za-z0-9_-]|{_DOT}){{16,}}+",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "card": rf"(?<![\p{{L}}\d])(?=(?:\d[ -]?){{12}}\d)\d++(?!\p{{L}})(?:[ -]{_OWN}\d++(?!\p{{L}}))*+",  # any digit groups: see pieces_of
-    "phone": r"(?<![\p{L}\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,8}(?:[ .-]\d{2,8}){1,4}(?!\d)"
-             r"|(?<![\p{L}\d])(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-.]\d{4}(?!\d)",
+    "phone": rf"(?<![\p{{L}}\d+])\+(?:{_PLANS})(?!\d)"
+             rf"|(?<![\p{{L}}\d+])\+\d(?:{_GAP}\d){{7,14}}(?!\d)"
+             r"|(?<![\p{L}\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,8}(?:[ .-]\d{2,8}){1,4}(?!\d)"
+             r"|(?<![\p{L}\d])(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?!\d)",
     "ssn": r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
     "name": rf"(?<!\p{{L}})(?:(?:{_TITLE})\b\.? {_CAP}(?: {_CAP})?|(?:{_GIVEN}) {_CAP})(?!\p{{L}})",
@@ -194,18 +203,27 @@ def _pick(chars: str, *of: Column) -> Column:
     return F.substr(F.lit(chars), (_draw(len(chars), *of) + 1).cast("int"), F.lit(1))
 
 
+def _mapped_char(c: Column, digit: str, of: list[Column]) -> Column:
+    return (F.when(c.rlike("^[0-9]$"), _pick(digit, *of))
+            .when(c.rlike("^[a-z]$"), _pick("abcdefghijklmnopqrstuvwxyz", *of))
+            .when(c.rlike("^[A-Z]$"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", *of))
+            .when(c.rlike(r"^\p{IsCyrillic}$"), _pick("абвгдежзиклмнопрстуф", *of))
+            .when(c.rlike(r"^\p{L}$"), _pick("abcdefghijklmnopqrstuvwxyz", *of)).otherwise(c))
+
+
+#: Characters from which a unit's characters are drawn by its hash, so that the time is linear in its length.
+LONG = 600
+
+
 def surrogate(unit: Column, key: str, attempt: Column) -> Column:
     """Keyed replacement of a unit's canonical text: of its kind, script, length and character classes."""
     kind, text = F.substring_index(unit, ":", 1), F.expr("substring({0}, instr({0}, ':') + 1)".format("unit"))
     base = [F.lit(key), unit, attempt.cast("string")]
+    seed = F.when(F.length(unit) > LONG, F.sha2(unit, 256)).otherwise(unit)
     hexadecimal = text.rlike("^[0-9a-f]+$")
 
     def mapped(t: Column, digit: str = "0123456789") -> Column:
-        return F.array_join(F.transform(F.split(t, ""), lambda c, i: F.when(c.rlike("^[0-9]$"), _pick(digit, *base, i.cast("string")))
-                            .when(c.rlike("^[a-z]$"), _pick("abcdefghijklmnopqrstuvwxyz", *base, i.cast("string")))
-                            .when(c.rlike("^[A-Z]$"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", *base, i.cast("string")))
-                            .when(c.rlike(r"^\p{IsCyrillic}$"), _pick("абвгдежзиклмнопрстуф", *base, i.cast("string")))
-                            .when(c.rlike(r"^\p{L}$"), _pick("abcdefghijklmnopqrstuvwxyz", *base, i.cast("string"))).otherwise(c)), "")
+        return _let(seed, lambda of: F.array_join(F.transform(F.split(t, ""), lambda c, i: _mapped_char(c, digit, [F.lit(key), of, attempt.cast("string"), i.cast("string")])), ""))
 
     top = F.regexp_extract(text, r"\.[^.]*$", 0)
     inner = mapped(F.expr("substring(unit, instr(unit, ':') + 1, length(unit) - instr(unit, ':') - 1)"))  # all but the check digit
@@ -229,7 +247,7 @@ def surrogate(unit: Column, key: str, attempt: Column) -> Column:
             .when(kind == "ssn", F.concat(F.lit("9"), F.substring(mapped(text), 2, 8)))
             .when(kind == "iban", F.concat(F.substring(text, 1, 2), F.substring(mapped(text), 3, 60)))
             .when(kind == "name", F.when(script == "cyrillic", family("cyrillic")).otherwise(family("latin")))
-            .otherwise(F.when(hexadecimal, mapped_hex(text, base)).otherwise(mapped(text))))
+            .otherwise(F.when(hexadecimal, _let(seed, lambda of: mapped_hex(text, [F.lit(key), of, attempt.cast("string")]))).otherwise(mapped(text))))
 
 
 def mapped_hex(text: Column, base: list[Column]) -> Column:

@@ -72,6 +72,21 @@ def test_cards_beside_other_digits(spark):
     assert n == [1, 1, 1, 1, 2, 2, 1, 1, 2, 0, 1]
 
 
+def test_entities_are_taken_whole(spark):
+    long, jwt = "aB3" * 234, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVP-mB92K27uhbUJU1p1r_wW1gFWFOEjXk"
+    texts = [f"token={long} end", f"token: {jwt}. Next", "+14155552671", "+4915112345678,", "415 555 2671", "+1 (743) 555-3824 2023", "743-555-3824",
+             "+49 151 12345678 2023", "secret=" + "q7" * 20000, "+33 1 23 45 67 89 2023", "+1 415 555 2671 4845168114407329"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in pii.replace_entities(df).orderBy("doc_id").collect()]
+    assert all(len(a) == len(b) and a != b for a, b in zip(texts, got))
+    assert long[512:] not in got[0] and got[0].endswith(" end") and got[1].endswith(". Next")
+    assert not any(part in got[1] for part in jwt.split("."))
+    digits = [re.sub(r"\D", "", x) for x in got]
+    assert digits[2] == "1" + digits[4] and digits[4] != "4155552671" and "12345678" not in got[3]
+    assert got[5].endswith(" 2023") and digits[5] == "1" + digits[6] + "2023" and got[7].endswith(" 2023") and got[9].endswith(" 2023")
+    assert "q7" * 20 not in got[8] and digits[10][:11] == digits[2] and luhn(digits[10][11:]) and "4845168114407329" not in got[10]
+
+
 def test_collisions_are_drawn_again(spark, monkeypatch):
     units = spark.createDataFrame([(f"ssn:{i}00-00-0000",) for i in range(10, 30)] + [("ssn:95",)], "unit string")
     monkeypatch.setattr(pii, "surrogate", lambda unit, key, attempt: (F.lit(90) + F.conv(F.substring(F.md5(F.concat_ws("|", unit, attempt.cast("string"))), 1, 6), 16, 10).cast("long") % 25).cast("string"))
