@@ -22,6 +22,7 @@ MAX_PAGES = 150
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe xmp noembed noframes".split())
 HIDDEN = RAW | set("head svg math select option button canvas object audio video map datalist".split())
+HEAD_CONTENT = set("title meta link style script base basefont bgsound noscript template".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
              "strong sub sup time tt u var wbr".split())
 CLOSES_P = set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre "
@@ -63,14 +64,23 @@ def parse(page: str) -> list[Node]:
     def close(down_to: int):
         del stack[down_to:]
 
+    def end_head():  # its end tag may be left out: what cannot stand in a head ends it
+        if nodes[stack[-1]].tag == "head":
+            close(len(stack) - 1)
+
+    def write(text: str):
+        if not text.isspace():
+            end_head()
+        nodes[stack[-1]].items.append(text)
+
     n = len(page)
     while at < n:
         m = _TAG.search(page, at)
         if m is None:
-            nodes[stack[-1]].items.append(page[at:])
+            write(page[at:])
             break
         if m.start() > at:
-            nodes[stack[-1]].items.append(page[at:m.start()])
+            write(page[at:m.start()])
         at = m.end()
         if m[2] is None:
             continue
@@ -81,6 +91,8 @@ def parse(page: str) -> list[Node]:
                     close(i)
                     break
             continue
+        if tag not in HEAD_CONTENT:
+            end_head()
         if tag in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
                 t = nodes[stack[i]].tag

@@ -82,6 +82,17 @@ def test_html_other_layouts_and_edges(spark):
     assert H.main_text(df.limit(0)).count() == 0
 
 
+def test_html_without_the_end_of_head(spark):
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    assert all("</head>" in h for _, _, h in pages)
+    cut = spark.createDataFrame([(i, u, h) for i, u, h in pages] + [(10_000 + i, u, h.replace("</head>", "")) for i, u, h in pages], "page_id long, url string, html string")
+    by = {r.page_id: r.text for r in H.main_text(cut).collect()}
+    assert all(by[10_000 + i] == by[i] != "" for i, _, _ in pages)
+    for inner in ("<body><p>Body text", "<p>Body text", "Body text"):
+        units = H.units_of(H.parse(f"<html><head><title>x</title>\n<meta charset=u><style>s</style>{inner}"))
+        assert [u.text for u in units if u.text] == ["Body text"]
+
+
 def test_decoding_keeps_no_node_without_its_parent():
     units = H.units_of(H.parse("<div><p>a</p><div><p>b</p></div></div>"))
     odds = np.array([0.1, 1.0, 1.0, -3.0, 2.0])
