@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -244,9 +245,9 @@ def features(units: list[Unit]) -> np.ndarray:
     rank = [0] * n
     like = [0] * n
     for u in units:
-        tags = [units[c].tag for c in u.children]
+        tags = Counter(units[c].tag for c in u.children)
         for r, c in enumerate(u.children):
-            rank[c], like[c] = r, tags.count(units[c].tag) if len(tags) < 200 else 200
+            rank[c], like[c] = r, tags[units[c].tag]
     for i, u in enumerate(units):
         p = u.parent
         own_side = len(u.words & SIDE_WORDS) + (u.tag in SIDE_TAGS)

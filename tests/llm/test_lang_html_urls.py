@@ -93,6 +93,13 @@ def test_html_without_the_end_of_head(spark):
         assert [u.text for u in units if u.text] == ["Body text"]
 
 
+def test_like_siblings_of_a_long_article():
+    at = H.FEATURES.index("like_siblings")
+    units = H.units_of(H.parse("<div>" + "<p>a</p>" * 900 + "<h2>b</h2>" * 100 + "</div>"))
+    like = {u.tag: row[at] for u, row in zip(units, H.features(units))}
+    assert like["p"] == 0.9 and like["h2"] == 0.1
+
+
 def test_decoding_keeps_no_node_without_its_parent():
     units = H.units_of(H.parse("<div><p>a</p><div><p>b</p></div></div>"))
     odds = np.array([0.1, 1.0, 1.0, -3.0, 2.0])
