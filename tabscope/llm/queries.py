@@ -61,13 +61,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(_table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bytebpe import bpe_table
+    return bpe_table(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = [op1_quality_rules, op2_token_files, op3_embedding_near_dedup, op4_best_fit_packing, op5_url_filters, op6_language_id,
-           op7_html_extraction, op8_pii_surrogates, op9_mix_sources, op10_simhash, pipeline]
+           op7_html_extraction, op8_pii_surrogates, op9_mix_sources, op10_simhash,
+           op11_byte_bpe, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
