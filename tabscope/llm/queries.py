@@ -71,6 +71,11 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_table(_table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -78,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [op1_quality_rules, op2_token_files, op3_embedding_near_dedup, op4_best_fit_packing, op5_url_filters, op6_language_id,
            op7_html_extraction, op8_pii_surrogates, op9_mix_sources, op10_simhash,
-           op11_byte_bpe, op12_tokenizer_alignment, pipeline]
+           op11_byte_bpe, op12_tokenizer_alignment, op13_embedding_whitening, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
