@@ -21,8 +21,8 @@ from .bytebpe import spans
 from .common import materialize, small_batches
 from .tokens import encoder, tokenizer_path
 
-#: Bytes of text that one lockstep state and one block of pair counts take (at least one document).
-BLOCK = 8 << 20
+#: Bytes of text that one lockstep state and one block of pair counts take (at least one batch of rows).
+BLOCK = 4 << 20
 
 
 def lockstep(ends_a: np.ndarray, size_a: np.ndarray, ends_b: np.ndarray, size_b: np.ndarray):
@@ -119,6 +119,26 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values.astype(np.int32)))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], text: int, aligner_: Aligner, block: int):
+    """The batches in blocks of about ``block`` bytes of text (column ``text``), each with the alignment of its texts."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.column(text).nbytes
+        if size >= block:
+            yield held, aligner_.align([t for b in held for t in b.column(text).to_pylist()])
+            held, size = [], 0
+    if held:
+        yield held, aligner_.align([t for b in held for t in b.column(text).to_pylist()])
+
+
+def _counts(flags: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many flags are set in each run of ``sizes``."""
+    return np.diff(np.concatenate([[0], np.cumsum(flags)])[np.concatenate([[0], np.cumsum(sizes)])])
+
+
 def align_documents(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, keys: tuple[str, ...] = ("doc_id",),
                     text: str = "text", block: int = BLOCK) -> DataFrame:
     """``keys`` and the alignment of every whole text as arrays of int: ``a_ids``, ``b_ids``; ``link_a`` and ``link_b``
@@ -134,16 +154,11 @@ def align_documents(docs: DataFrame, path_a: str | None = None, path_b: str | No
     names = [*keys, "a_ids", "b_ids", "link_a", "link_b", "cut_a", "cut_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = aligner(path_a, path_b).align
-        held, size = [], 0
-
-        def flush():
-            texts = [t for batch in held for t in batch.column(n).to_pylist()]
-            ids_a, size_a, ids_b, size_b, link_a, link_b, cut, n_links = find(texts)
-            first_a = np.repeat(np.cumsum(size_a) - size_a, n_links)
-            first_b = np.repeat(np.cumsum(size_b) - size_b, n_links)
-            n_cuts = np.diff(np.concatenate([[0], np.cumsum(cut)])[np.concatenate([[0], np.cumsum(n_links)])])
-            link_a, link_b = link_a - first_a, link_b - first_b
+        for held, aligned in _blocks(batches, n, aligner(path_a, path_b), block):
+            ids_a, size_a, ids_b, size_b, link_a, link_b, cut, n_links = aligned
+            n_cuts = _counts(cut, n_links)
+            link_a = link_a - np.repeat(np.cumsum(size_a) - size_a, n_links)
+            link_b = link_b - np.repeat(np.cumsum(size_b) - size_b, n_links)
             arrays = [_lists(ids_a, size_a), _lists(ids_b, size_b), _lists(link_a, n_links), _lists(link_b, n_links),
                       _lists(link_a[cut], n_cuts), _lists(link_b[cut], n_cuts)]
             at = 0
@@ -151,15 +166,6 @@ def align_documents(docs: DataFrame, path_a: str | None = None, path_b: str | No
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[a.slice(at, batch.num_rows) for a in arrays]], names=names)
                 at += batch.num_rows
 
-        for batch in batches:
-            held.append(batch)
-            size += batch.column(n).nbytes
-            if size >= block:
-                yield from flush()
-                held, size = [], 0
-        if held:
-            yield from flush()
-
     cols = docs.select(*keys, F.col(text).cast("string").alias("_text"))
     return cols.mapInArrow(run, T.StructType([*cols.schema.fields[:n], *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in names[n:]]]))
 
@@ -185,13 +191,15 @@ def _decimals(pages: int) -> list[np.ndarray]:
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
-def pair_blocks(aligned: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Digests per document, and the id pairs that each block of documents links.
+def pair_blocks(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, block: int = BLOCK) -> DataFrame:
+    """Alignment digests per row of ``docs`` (doc_id, text), and the id pairs that each block of documents links.
 
     A block's row has ``pairs`` (distinct a_id * 2^32 + b_id, ascending) and ``times`` (links of each in the block). A
     document's row has doc_id, its counts, ``groups_sha256``, and its links as ``at`` (positions in the block's
     ``pairs``) and ``times``. Blocks are numbered by task, so the result must be written once before it is used twice.
     """
+    small_batches(docs.sparkSession)
+    path_a, path_b = path_a or tokenizer_path("byte_bpe_50k.json"), path_b or tokenizer_path("piece_bpe_32k.model")
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc_id", T.LongType()),
                            *[T.StructField(c, T.LongType()) for c in COUNTS], T.StructField("groups_sha256", T.StringType()),
                            T.StructField("pairs", T.ArrayType(T.LongType())), T.StructField("at", T.ArrayType(T.IntegerType())),
@@ -199,56 +207,29 @@ def pair_blocks(aligned: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        task, number, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
-
-        def digest(batch: pa.RecordBatch):
-            def flat(k):
-                col = batch.column(k)
-                ends = col.offsets.to_numpy().astype(np.int64)
-                return col.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]], np.diff(ends)
-
-            (ids_a, size_a), (ids_b, size_b), (link_a, n_links), (link_b, _), (cut_a, n_cuts), (cut_b, _) = map(flat, range(1, 7))
-            first_a, first_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
-            pairs = (ids_a[link_a + np.repeat(first_a, n_links)].astype(np.int64) << 32) | ids_b[link_b + np.repeat(first_b, n_links)]
-            shas = groups_digests(ids_a, size_a, ids_b, size_b, cut_a + np.repeat(first_a, n_cuts), cut_b + np.repeat(first_b, n_cuts))
-            return batch.column(0), size_a, size_b, n_cuts, n_links, shas, pairs
-
-        def flush():
-            n_links = np.concatenate([h[4] for h in held])
-            pairs, place, times = np.unique(np.concatenate([h[6] for h in held]), return_inverse=True, return_counts=True)
+        arrow = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), *[(c, pa.int64()) for c in COUNTS], ("groups_sha256", pa.string()),
+                           ("pairs", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
+        block_id = TaskContext.get().partitionId() << 32
+        for held, aligned in _blocks(batches, 1, aligner(path_a, path_b), block):
+            ids_a, size_a, ids_b, size_b, link_a, link_b, cut, n_links = aligned
+            n_cuts = _counts(cut, n_links)
+            shas = groups_digests(ids_a, size_a, ids_b, size_b, link_a[cut], link_b[cut])
+            pairs, place, times = np.unique((ids_a[link_a].astype(np.int64) << 32) | ids_b[link_b], return_inverse=True, return_counts=True)
             width = max(1, len(pairs))
             own, own_times = np.unique(np.repeat(np.arange(len(n_links)), n_links) * width + place, return_counts=True)
             own_size = np.bincount(own // width, minlength=len(n_links))
-            starts = np.concatenate([[0], np.cumsum(own_size)])
-            rows = 0
-            block_id = task | number
             yield pa.RecordBatch.from_pydict({"block": [block_id], "doc_id": [None], **{c: [None] for c in COUNTS}, "groups_sha256": [None],
                                               "pairs": [pairs], "at": [None], "times": [times.astype(np.int32)]}, schema=arrow)
-            for ids, size_a, size_b, n_cuts, n_links_, shas, _ in held:
-                n = len(shas)
-                begin, end = starts[rows], starts[rows + n]
-                sizes = own_size[rows:rows + n]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, block_id)), ids, *[pa.array(x.astype(np.int64)) for x in (size_a, size_b, n_cuts, n_links_)],
-                     pa.array(shas, pa.string()), pa.nulls(n, pa.list_(pa.int64())), _lists(own[begin:end] % width, sizes), _lists(own_times[begin:end], sizes)],
-                    schema=arrow)
-                rows += n
-
-        arrow = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), *[(c, pa.int64()) for c in COUNTS], ("groups_sha256", pa.string()),
-                           ("pairs", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(digest(batch))
-            size += 3 * int(held[-1][4].sum())  # about three bytes of text to a link
-            if size >= block:
-                yield from flush()
-                held, size, number = [], 0, number + 1
-        if held:
-            yield from flush()
+            n = len(n_links)
+            columns = [pa.array(np.full(n, block_id)), pa.concat_arrays([b.column(0) for b in held]),
+                       *[pa.array(x.astype(np.int64)) for x in (size_a, size_b, n_cuts, n_links)], pa.array(shas, pa.string()),
+                       pa.nulls(n, pa.list_(pa.int64())), _lists(own % width, own_size), _lists(own_times, own_size)]
+            rows = pa.RecordBatch.from_arrays(columns, schema=arrow)
+            for at in range(0, n, 512):
+                yield rows.slice(at, 512)
+            block_id += 1
 
-    cols = aligned.select("doc_id", "a_ids", "b_ids", "link_a", "link_b", "cut_a", "cut_b")
-    return cols.mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def score_links(blocks: DataFrame) -> DataFrame:
@@ -306,5 +287,4 @@ def alignment_table(docs: DataFrame, path_a: str | None = None, path_b: str | No
     sum of the pairs' numbers over the links. Rows without tokens (``align_documents``) have zeros and ''. Repeated rows
     count and are returned as often as they stand.
     """
-    aligned = align_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path_a, path_b)
-    return score_links(materialize(pair_blocks(aligned), "alignment"))
+    return score_links(materialize(pair_blocks(docs, path_a, path_b), "alignment"))

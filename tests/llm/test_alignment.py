@@ -121,7 +121,7 @@ def test_small_blocks_and_real_outputs(spark):
     rows = [tuple(r) for r in docs.collect()]
     from tabscope.llm.common import materialize
     aligned = materialize(align_documents(docs, block=3000), "aligned")
-    assert sorted(map(tuple, score_links(materialize(pair_blocks(aligned, block=3000), "blocks")).collect())) == sorted(brute(rows))
+    assert sorted(map(tuple, score_links(materialize(pair_blocks(docs, block=3000), "blocks")).collect())) == sorted(brute(rows))
     find = aligner(P.path(A), P.path(B))
     for r in aligned.collect():
         assert len(r["link_a"]) == len(r["link_b"]) and len(r["cut_a"]) == len(r["cut_b"])
