@@ -42,23 +42,6 @@ def long_form(df: DataFrame, cols: Sequence[str], cast: str = "double", ids: Seq
     return out
 
 
-def quantile_table(long: DataFrame, probs: Sequence[float], by: Sequence[str] = ("column",),
-                   exact: bool = True, accuracy: int = 100000, name: str = "q") -> DataFrame:
-    """Linear-interpolated quantiles per group (pandas' default).
-
-    Exact mode pre-aggregates (group, value) counts in a distributed shuffle
-    (map-side combine collapses hot values), then runs the frequency-weighted
-    ``percentile`` over distinct values only. ``exact=False`` uses the bounded
-    ``percentile_approx`` sketch, the choice for high-cardinality doubles at scale.
-    """
-    arr = "array(" + ", ".join(repr(float(p)) for p in probs) + ")"
-    by = list(by)
-    if exact:
-        counted = long.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("_w"))
-        return counted.groupBy(*by).agg(F.expr(f"percentile(value, {arr}, _w)").alias(name))
-    return long.groupBy(*by).agg(F.expr(f"percentile_approx(value, {arr}, {accuracy})").alias(name))
-
-
 def sample_skew(g1: Column, n: Column, m2: Column) -> Column:
     """Bias-corrected skewness from Spark's population g1 (pandas / DuckDB form)."""
     return (F.when(n < 3, F.lit(None).cast("double"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import c as _c
 from ..functions.scalar import div
 from .common import numeric_columns, sample_skew, text_columns
+from .quantiles import quantile_scalars
 
 EPS = 1e-8  # Fixed value: epsilon of the ratio and log features.
 
@@ -52,7 +53,7 @@ def ratio_zero_safe(a, b) -> Column:
 
 def ratio_zero_median(df: DataFrame, a: str, b: str) -> Column:
     """P5: a / b with a zero divisor replaced by the median of b."""
-    med = stats_scalar(df, m=F.percentile(F.col(b).cast("double"), 0.5))["m"]
+    med = quantile_scalars(df, [b], [0.5])["c0"][0]
     bb = F.col(b).cast("double")
     return div(F.col(a), F.when(bb == 0, med).otherwise(bb))
 
@@ -126,8 +127,7 @@ def residual_feature(target: str, a: str, b: str) -> Column:
 def quantile_edges(df: DataFrame, x: str, q: int) -> Column:
     """Distinct linear quantile edges [0, 1/q, ..., 1] as a scalar array."""
     probs = [i / q for i in range(q + 1)]
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    return stats_scalar(df, e=F.array_distinct(F.percentile(F.col(x).cast("double"), arr)))["e"]
+    return F.array_distinct(quantile_scalars(df, [x], probs)["c0"])
 
 
 def quantile_bin(df: DataFrame, x: str, q: int) -> Column:
@@ -161,8 +161,8 @@ def equal_width_bin(df: DataFrame, x: str, q: int) -> Column:
 
 def cap_iqr(fit_df: DataFrame, x: str, k: float = 3.0) -> Column:
     """Clip to [q1 - k*iqr, q3 + k*iqr] when iqr > 0 (fences fitted on ``fit_df``)."""
-    s = stats_scalar(fit_df, q=F.percentile(F.col(x).cast("double"), F.array(F.lit(0.25), F.lit(0.75))))
-    q1, q3 = s["q"][0], s["q"][1]
+    q = quantile_scalars(fit_df, [x], [0.25, 0.75])["c0"]
+    q1, q3 = q[0], q[1]
     iqr = q3 - q1
     v = F.col(x).cast("double")
     return F.when(iqr > 0, F.least(F.greatest(v, q1 - k * iqr), q3 + k * iqr)).otherwise(v)
@@ -170,17 +170,16 @@ def cap_iqr(fit_df: DataFrame, x: str, k: float = 3.0) -> Column:
 
 def winsorize(fit_df: DataFrame, x: str, lower: float = 0.01, upper: float = 0.99) -> Column:
     """Clip at the 1st / 99th linear percentiles (fitted on ``fit_df``)."""
-    s = stats_scalar(fit_df, q=F.percentile(F.col(x).cast("double"), F.array(F.lit(lower), F.lit(upper))))
-    v = F.col(x).cast("double")
-    return F.least(F.greatest(v, s["q"][0]), s["q"][1])
+    q = quantile_scalars(fit_df, [x], [lower, upper])["c0"]
+    return F.least(F.greatest(F.col(x).cast("double"), q[0]), q[1])
 
 
 # ---------------------------------------------------------------- P17-P24 imputation and encoding
 
 def impute_median(fit_df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
     """Numeric nulls -> exact median of the fit rows."""
-    s = stats_scalar(fit_df, **{f"m{i}": F.percentile(F.col(c).cast("double"), 0.5) for i, c in enumerate(cols)})
-    return {c: F.coalesce(F.col(c).cast("double"), s[f"m{i}"]) for i, c in enumerate(cols)}
+    s = quantile_scalars(fit_df, cols, [0.5])
+    return {c: F.coalesce(F.col(c).cast("double"), s[f"c{i}"][0]) for i, c in enumerate(cols)}
 
 
 def mode_value(fit_df: DataFrame, col: str) -> Column:

@@ -71,9 +71,9 @@ def kfold_assign(df: DataFrame, keys: Sequence[str], k: int = N_FOLDS, stratify:
 def time_series_folds(df: DataFrame, ts: str, k: int = N_FOLDS) -> DataFrame:
     """M3: ``segment`` = number of time cut points (quantiles i/(k+1)) before the row; fold f trains on
     segments < f and validates on segment f (expanding window)."""
-    probs = F.array(*[F.lit(i / (k + 1)) for i in range(1, k + 1)])
-    cuts = df.agg(F.percentile(F.unix_micros(F.col(ts).cast("timestamp")).cast("double"), probs).alias("c")).scalar()
+    from .quantiles import quantile_scalars
     t = F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
+    cuts = quantile_scalars(df, [t], [i / (k + 1) for i in range(1, k + 1)])["c0"]
     seg = sum((F.coalesce((F.get(cuts, i) < t).cast("int"), F.lit(0)) for i in range(k)), F.lit(0))
     return df.withColumn("segment", seg)
 

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import div, safe_round, skew_label
-from .common import (date_columns, first_n, long_form, numeric_columns, quantile_table, safe_corr,
-                     sample_kurt, sample_skew, text_columns)
+from .common import date_columns, first_n, long_form, numeric_columns, safe_corr, sample_kurt, sample_skew, text_columns
+from .quantiles import quantile_table
 
 R = safe_round
 
@@ -48,7 +48,7 @@ def _dtype_name(df: DataFrame) -> dict:
 
 # ---------------------------------------------------------------- A1, A2
 
-def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """A1: per-column descriptive statistics with pandas' bias-corrected moments."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     long = long_form(df, cols)
@@ -57,7 +57,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact: bo
         F.stddev_samp("value").alias("_sd"), F.var_samp("value").alias("_var"),
         F.var_pop("value").alias("_m2"), F.min("value").alias("_min"), F.max("value").alias("_max"),
         F.skewness("value").alias("_g1"), F.kurtosis("value").alias("_g2"))
-    q = quantile_table(long, DESCRIBE_PROBS, exact=exact)
+    q = quantile_table(long, DESCRIBE_PROBS)
     j = mom.join(F.broadcast(q), "column")
     n = F.col("_n")
     sk = R(sample_skew(F.col("_g1"), n, F.col("_m2")))
@@ -170,24 +170,23 @@ def null_rate_top(df: DataFrame, k: int = 5) -> DataFrame:
 
 # ---------------------------------------------------------------- A8, A16
 
-def column_fences(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+def column_fences(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """J1 input: per-column n, mean, sd (sample, population), q1, median, q3, iqr, min, max."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     long = long_form(df, cols)
     mom = long.groupBy("column").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
         F.stddev_pop("value").alias("sd_pop"), F.min("value").alias("min"), F.max("value").alias("max"))
-    q = quantile_table(long, [0.25, 0.5, 0.75], exact=exact)
+    q = quantile_table(long, [0.25, 0.5, 0.75])
     return (mom.join(F.broadcast(q), "column")
             .select("*", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
             .drop("q").withColumn("iqr", F.col("q3") - F.col("q1")))
 
 
-def outliers_by_column(df: DataFrame, cols: Sequence[str] | None = None, only_flagged: bool = True,
-                       exact: bool = True) -> DataFrame:
+def outliers_by_column(df: DataFrame, cols: Sequence[str] | None = None, only_flagged: bool = True) -> DataFrame:
     """IQR (1.5, 3.0) and z > 3 outlier counts with severity."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    st = column_fences(df, cols, exact).where((F.col("n") >= 4) & (F.col("iqr") != 0))
+    st = column_fences(df, cols).where((F.col("n") >= 4) & (F.col("iqr") != 0))
     st = st.select("*", (F.col("q1") - 1.5 * F.col("iqr")).alias("lo"), (F.col("q3") + 1.5 * F.col("iqr")).alias("hi"),
                    (F.col("q1") - 3.0 * F.col("iqr")).alias("lo3"), (F.col("q3") + 3.0 * F.col("iqr")).alias("hi3"))
     long = long_form(df, cols).join(F.broadcast(st.select("column", "lo", "hi", "lo3", "hi3", "mean", "sd", "sd_pop")),
@@ -208,10 +207,10 @@ def outliers_by_column(df: DataFrame, cols: Sequence[str] | None = None, only_fl
         F.when(ratio > 0.10, "high").when(ratio > 0.03, "moderate").otherwise("low").alias("severity"))
 
 
-def boxplot_stats(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+def boxplot_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Quartiles, whiskers (extreme points inside 1.5 IQR), outlier count."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    st = column_fences(df, cols, exact).where(F.col("n") >= 4)
+    st = column_fences(df, cols).where(F.col("n") >= 4)
     st = st.select("*", (F.col("q1") - 1.5 * F.col("iqr")).alias("lo"), (F.col("q3") + 1.5 * F.col("iqr")).alias("hi"))
     long = long_form(df, cols).join(F.broadcast(st.select("column", "lo", "hi")), "column")
     v = F.col("value")
@@ -227,10 +226,10 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str] | None = None, exact: bool
 
 
 def boxplot_outlier_sample(df: DataFrame, order_by: Sequence[str], cols: Sequence[str] | None = None,
-                           k: int = 10, exact: bool = True) -> DataFrame:
+                           k: int = 10) -> DataFrame:
     """Up to k outliers per column in row order (top-k per group, limited before the shuffle)."""
     cols = list(cols) if cols is not None else [c for c in numeric_columns(df) if c not in order_by]
-    st = column_fences(df, cols, exact).where(F.col("n") >= 4)
+    st = column_fences(df, cols).where(F.col("n") >= 4)
     st = st.select("column", (F.col("q1") - 1.5 * F.col("iqr")).alias("lo"),
                    (F.col("q3") + 1.5 * F.col("iqr")).alias("hi"))
     long = long_form(df, cols, ids=list(order_by)).join(F.broadcast(st), "column")
@@ -519,7 +518,7 @@ def monthly_cohorts(df: DataFrame, date_col: str | None = None, kpi: Sequence[st
 
 
 def segment_profile(df: DataFrame, seg_cols: Sequence[str] | None = None, num_cols: Sequence[str] | None = None,
-                    max_num: int = 8, max_groups: int = SEGMENT_MAX_GROUPS, exact: bool = True) -> DataFrame:
+                    max_num: int = 8, max_groups: int = SEGMENT_MAX_GROUPS) -> DataFrame:
     """Per level of each 2..10-level column: n, pct, mean/median/std/min/max of the first numerics."""
     seg = list(seg_cols) if seg_cols is not None else text_columns(df)
     nums = first_n(num_cols if num_cols is not None else numeric_columns(df), max_num)
@@ -543,20 +542,19 @@ def segment_profile(df: DataFrame, seg_cols: Sequence[str] | None = None, num_co
     by = ["segment_column", "level", "column"]
     mom = long.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
                                 F.min("value").alias("min"), F.max("value").alias("max"))
-    med = quantile_table(long, [0.5], by=by, exact=exact)
+    med = quantile_table(long, [0.5], by=by)
     j = mom.join(med, by).join(F.broadcast(sizes), ["segment_column", "level"])
     return j.select("segment_column", "level", "n", "pct", "column", R("mean").alias("mean"),
                     R(F.col("q")[0]).alias("median"), R("std").alias("std"), R("min").alias("min"), R("max").alias("max"))
 
 
-def kpi_summary(df: DataFrame, cols: Sequence[str] | None = None, keywords: Sequence[str] = KPI_KEYWORDS,
-                exact: bool = True) -> DataFrame:
+def kpi_summary(df: DataFrame, cols: Sequence[str] | None = None, keywords: Sequence[str] = KPI_KEYWORDS) -> DataFrame:
     """is_likely_kpi, total, mean, median, count, pct_nonzero per numeric column."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     long = long_form(df, cols)
     g = long.groupBy("column").agg(F.sum("value").alias("total"), F.avg("value").alias("mean"),
                                    F.count("value").alias("count"), F.count_if(F.col("value") != 0).alias("_nz"))
-    q = quantile_table(long, [0.5], exact=exact)
+    q = quantile_table(long, [0.5])
     kpi = [c for c in cols if _name_has(c, keywords)]
     return g.join(F.broadcast(q), "column").select(
         "column", F.col("column").isin(kpi).alias("is_likely_kpi"), R("total").alias("total"), R("mean").alias("mean"),

@@ -41,7 +41,7 @@ def _n_parts(df: DataFrame, partitions: int | None) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _staged(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], partitions: int | None) -> DataFrame:
+def sorted_ranges(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], partitions: int | None) -> DataFrame:
     """Range-partition on (keys, order), sort, tag each row with its partition id, checkpoint."""
     allk = list(keys) + list(order_by)
     st = (df.repartitionByRange(_n_parts(df, partitions), *allk).sortWithinPartitions(*allk)
@@ -67,7 +67,7 @@ def prefix_scan(df: DataFrame, order_by: Sequence[str], value: Column | None = N
     """
     v = value if value is not None else F.lit(1).cast("long")
     keys = list(partition_by)
-    st = _staged(df.withColumn("_v", v), keys, order_by, partitions)
+    st = sorted_ranges(df.withColumn("_v", v), keys, order_by, partitions)
     tot = st.groupBy("_pid", *keys).agg(F.sum("_v").alias("_tot"))
     wo = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_pid").rowsBetween(_UNB, -1)
     offs = tot.select("_pid", *keys, F.sum("_tot").over(wo).alias("_off"))
@@ -91,7 +91,7 @@ def _rolling_staged(df: DataFrame, specs: dict[str, tuple[str, Column, int]], or
     """Rolling frames over range partitions with halo rows from earlier partitions."""
     keys = list(partition_by)
     n_max = max(n for _, (_, _, n) in specs.items())
-    st = _indexed(_staged(df, keys, order_by, partitions), keys, order_by)
+    st = _indexed(sorted_ranges(df, keys, order_by, partitions), keys, order_by)
     base_cols = [c for c in st.columns]
     if n_max > 1:
         starts = (st.select("_pid", *keys, "_start").distinct()

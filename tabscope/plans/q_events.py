@@ -39,11 +39,35 @@ register("dedup_within_skew_safe", f"""WITH RECURSIVE e AS (SELECT user_id, even
    SELECT e.user_id, e.event_type, min(e.t) FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type
      AND e.t >= r.t + {DEDUP_S * 1_000_000} GROUP BY ALL)
 SELECT min(e.event_id) AS event_id FROM r JOIN e USING (user_id, event_type, t) GROUP BY e.user_id, e.event_type, e.t""")(
-    lambda spark, sf: E.dedup_within(_ev(spark, sf), ["user_id", "event_type"], window_s=DEDUP_S, skew_safe=True).select("event_id"))
+    lambda spark, sf: E.dedup_within(_ev(spark, sf), ["user_id", "event_type"], window_s=DEDUP_S, partitions=7).select("event_id"))
 
 register("dedup_seen", "SELECT arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type")(
     lambda spark, sf: E.dedup_seen(_ev(spark, sf), ["user_id", "event_type"]).select("event_id"))
 
+HOT_S = 900  # all events as one key: its bursts hold hundreds of events, and every event is delivered again
+
+_HOT_SQL = f"""WITH RECURSIVE e AS (SELECT event_id, epoch_us(ts) AS t FROM events),
+ r AS (SELECT min(t) AS t FROM e UNION ALL SELECT (SELECT min(e.t) FROM e WHERE e.t >= r.t + {HOT_S * 1_000_000}) FROM r WHERE r.t IS NOT NULL)
+SELECT min(e.event_id) AS event_id FROM r JOIN e USING (t) GROUP BY e.t"""
+
+
+def _twice(spark, sf):
+    e = _ev(spark, sf).withColumn("one", F.lit("x"))
+    return e.unionByName(e)
+
+
+register("dedup_within_hot_key", _HOT_SQL)(
+    lambda spark, sf: E.dedup_within(_twice(spark, sf), ["one"], window_s=HOT_S, partitions=7).select("event_id"))
+
+register("dedup_seen_redelivered", "SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")(
+    lambda spark, sf: E.dedup_seen(_twice(spark, sf), ["user_id", "event_type"]).select("user_id", "event_type", "event_id"))
+
+register("rate_per_minute_hot_key", f"""SELECT event_id, count(*) OVER w AS requests_window, CAST(sum({TOK_SQL}) OVER w AS BIGINT) AS tokens_window
+FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN -1 ELSE user_id END AS k FROM events)
+WINDOW w AS (PARTITION BY k ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW)""")(
+    lambda spark, sf: E.rate_per_minute(_ev(spark, sf).withColumn("k", F.when(F.col("event_id") % 2 == 0, -1).otherwise(F.col("user_id"))),
+                                        "k", window_s=3600).select("event_id", "requests_window", "tokens_window"))
+
 register("rate_per_minute", f"""SELECT event_id, event_type, ts,
   count(*) OVER w AS requests_window, CAST(sum({TOK_SQL}) OVER w AS BIGINT) AS tokens_window FROM events
 WINDOW w AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)""")(

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.scalar import safe_round as R
 from ..operators import assoc as H
 from ..operators import profile as P
-from ..operators.common import long_form, quantile_table
+from ..operators.common import long_form
+from ..operators.quantiles import quantile_table
+from ..operators.window import join_on
 from ..sources import io as IO
 from .catalog import register
 from .sqlgen import long_sql, r6
@@ -69,8 +71,10 @@ SELECT c_custkey, l."column", {r6('value')} AS value, {r6('q1')} AS q1, {r6('q3'
 
 def _group_stats(spark, sf):
     c = t(spark, sf, "customer")
-    g = c.groupBy("c_mktsegment").agg(F.avg("c_acctbal").alias("seg_mean"), F.percentile("c_acctbal", 0.5).alias("seg_median"))
-    return c.join(F.broadcast(g), "c_mktsegment").select("c_custkey", R("seg_mean").alias("seg_mean"), R("seg_median").alias("seg_median"))
+    by = ["c_mktsegment"]
+    med = quantile_table(c.select(*by, F.col("c_acctbal").alias("value")), [0.5], by, bounded=False)
+    g = join_on(c.groupBy(*by).agg(F.avg("c_acctbal").alias("seg_mean")), med.select(*by, F.col("q")[0].alias("seg_median")), by)
+    return c.join(g, "c_mktsegment").select("c_custkey", R("seg_mean").alias("seg_mean"), R("seg_median").alias("seg_median"))
 
 
 register("attach_group_stats", f"""WITH g AS (SELECT c_mktsegment, avg(c_acctbal) AS m, quantile_cont(c_acctbal, 0.5) AS md FROM customer GROUP BY 1)

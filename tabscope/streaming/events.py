@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import token_estimate
-from ..operators.window import join_on
+from ..operators.window import join_on, sorted_ranges
+from ..session import cut_lineage
 
 # Dedup windows (seconds), default rate limits, routing table, flow keywords.
 DEDUP_WINDOW_S = 1.5
@@ -61,47 +62,74 @@ def route_channel(df: DataFrame, routes: dict[str, Sequence[str]], key: str = "e
     return df.join(F.broadcast(rt), df[key] == rt["_key"]).drop("_key")
 
 
-def _segments(df: DataFrame, keys: Sequence[str], ts: str, order: str, window_us: int,
-              skew_safe: bool = False) -> DataFrame:
-    """Split each key's stream where the gap to the previous event is >= the window: such an event is
-    always accepted, so segments are independent (exact), and bursts bound the group size.
+def _one_row(df: DataFrame, by: Sequence[str], order: Column) -> DataFrame:
+    """The row of least ``order`` per ``by`` (nulls are a group), whole; of rows alike in ``order``, one."""
+    least = F.struct(order.alias("o"), F.xxhash64(*[c for c in df.columns]).alias("h"))
+    return df.groupBy(*by).agg(F.min_by(F.struct(*df.columns), least).alias("_row")).select("_row.*")
 
-    ``skew_safe`` computes the gaps and the running segment number on range partitions
-    (halo rows, per-partition offsets) so a key holding a third of all rows spreads over tasks.
+
+def _bursts(times: DataFrame, keys: Sequence[str], window_us: int, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Heads and pointers of the distinct (keys, ``_t``) in ``times``.
+
+    Heads are events with no event of their key less than the window before: they are always accepted. The pointer of
+    an event leads to the first event a window or more after it, ``_next``, unless that one is a head. Events and their
+    times plus a window are sorted together over range partitions, so a key of any size is many tasks; what lies across
+    a partition's border comes from a table of one row per partition and key.
     """
-    from ..operators.window import cumulative_sum, rolling
-    x = df.withColumn("_t", _us(ts))
-    x = rolling(x, {"_gap": ("diff", F.col("_t").cast("double"), 2)}, ["_t", order], keys, skew_safe=skew_safe)
-    x = x.withColumn("_new", (F.col("_gap") >= window_us).cast("long"))
-    return cumulative_sum(x, F.col("_new"), ["_t", order], keys, "_seg", skew_safe=skew_safe)
+    kinds = F.array(F.struct(F.col("_t").alias("at"), F.lit(1).alias("kind")), F.struct((F.col("_t") + window_us).alias("at"), F.lit(0).alias("kind")))
+    both = times.select(*keys, "_t", F.explode(kinds).alias("k")).select(*keys, "_t", F.col("k.at").alias("_at"), F.col("k.kind").alias("_kind"))
+    staged = sorted_ranges(both, keys, ["_at", "_kind"], partitions)
+    event = F.when(F.col("_kind") == 1, F.col("_at"))
+    edges = staged.groupBy("_pid", *keys).agg(F.min(event).alias("_first"), F.max(event).alias("_last"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("_pid")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select("_pid", *keys, F.last("_first", True).over(later).alias("_after"), F.last("_last", True).over(earlier).alias("_before"))
+    inside = Window.partitionBy("_pid", *keys)
+    down = inside.orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    up = inside.orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    x = join_on(staged, edges, ["_pid", *keys]).select(
+        *keys, "_t", "_kind", F.coalesce(F.last(event, True).over(down), F.col("_after")).alias("_next"),
+        F.coalesce(F.last(event, True).over(up), F.col("_before")).alias("_prev"))
+    x = cut_lineage(x)
+    heads = x.where((F.col("_kind") == 1) & (F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= window_us))).select(*keys, "_t")
+    pointers = x.where((F.col("_kind") == 0) & F.col("_next").isNotNull()).select(*keys, "_t", "_next")
+    # a pointer to a head is not needed: the head is accepted anyway
+    named = heads.withColumnRenamed("_t", "_next")
+    return heads, join_on(pointers, named, [*keys, "_next"], "left_anti")
 
 
 def dedup_within(df: DataFrame, keys: Sequence[str], ts: str = "ts", order: str = "event_id",
-                 window_s: float = DEDUP_WINDOW_S, skew_safe: bool = False) -> DataFrame:
+                 window_s: float = DEDUP_WINDOW_S, partitions: int | None = None) -> DataFrame:
     """Keep an event unless the same key was *accepted* less than window_s before it.
 
-    Dropped events do not extend the window. Per (key, burst) a fold over the sorted
-    times marks the accepted ones (the order column breaks ties).
+    Dropped events do not extend the window. Of events of a key at one time the one of least ``order`` counts, so an
+    event delivered again with its id is dropped; rows carry themselves through and are not looked up by id. An event
+    is accepted if the pointers of ``_bursts`` lead to it from the head of its burst: pointer doubling finds these in
+    as many rounds as the longest chain has binary digits, with joins on (keys, time), which are unique. Null times
+    are one time of their key.
     """
     wus = int(round(window_s * 1_000_000))
-    id_type = df.schema[order].dataType.simpleString()
-    seg = _segments(df, keys, ts, order, wus, skew_safe)
-    g = seg.groupBy(*keys, "_seg").agg(F.sort_array(F.collect_list(F.struct("_t", F.col(order).alias("_o")))).alias("_ev"))
-    init = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{id_type}>").alias("keep"))
-
-    def step(acc, e):
-        ok = acc["last"].isNull() | (e["_t"] - acc["last"] >= wus)
-        return F.struct(F.when(ok, e["_t"]).otherwise(acc["last"]).alias("last"),
-                        F.when(ok, F.concat(acc["keep"], F.array(e["_o"]))).otherwise(acc["keep"]).alias("keep"))
-
-    kept = g.select(*keys, F.explode(F.aggregate("_ev", init, step, lambda a: a["keep"])).alias(order))
-    return join_on(df, kept, [*keys, order], "left_semi")
+    rows = _one_row(df.withColumn("_t", _us(ts)), [*keys, "_t"], F.struct(order))
+    rows = cut_lineage(rows)
+    times = rows.where(F.col("_t").isNotNull()).select(*keys, "_t")
+    heads, step = _bursts(times, keys, wus, partitions)
+    step = cut_lineage(step)
+    reached = heads
+    while not step.isEmpty():
+        found = join_on(step, reached, [*keys, "_t"], "left_semi").select(*keys, F.col("_next").alias("_t"))
+        reached = cut_lineage(reached.unionByName(found).distinct())
+        ahead = step.withColumnRenamed("_next", "_far").withColumnRenamed("_t", "_next")
+        step = cut_lineage(join_on(step, ahead, [*keys, "_next"]).select(*keys, "_t", F.col("_far").alias("_next")))
+    kept = join_on(rows, reached, [*keys, "_t"], "left_semi").unionByName(rows.where(F.col("_t").isNull()))
+    return kept.select(*df.columns)
 
 
 def dedup_seen(df: DataFrame, keys: Sequence[str], ts: str = "ts", order: str = "event_id") -> DataFrame:
-    """Drop repeats of the key forever: the earliest event per key (partial aggregation, no key-sized group)."""
-    first = df.groupBy(*keys).agg(F.min_by(F.col(order), F.struct(F.col(ts), F.col(order))).alias("_first"))
-    return join_on(df, first.withColumnRenamed("_first", order), [*keys, order], "left_semi")
+    """Drop repeats of the key forever: the earliest event per key, once, also if it is delivered again with its id.
+
+    The row itself goes through the aggregate (partial per task), so a hot key is one row per task.
+    """
+    return _one_row(df, keys, F.struct(ts, order))
 
 
 # ---------------------------------------------------------------- E4-E6
@@ -110,13 +138,29 @@ def with_tokens(df: DataFrame, payload: str = "props") -> DataFrame:
     return df.withColumn("tokens", token_estimate(F.col(payload)))
 
 
+def _buckets(df: DataFrame, key: str, ts: str, order: str, payload: str, window_us: int) -> DataFrame:
+    """Events in time buckets (``_b``) one window wide, each also as halo (``_halo``) of the bucket after its own."""
+    x = with_tokens(df, payload).select(order, key, ts, "tokens", _us(ts).alias("_t"))
+    b = F.floor(F.col("_t") / window_us)
+    copies = F.array(F.struct(b.alias("b"), F.lit(False).alias("halo")), F.struct((b + 1).alias("b"), F.lit(True).alias("halo")))
+    return x.select("*", F.explode(copies).alias("_c")).select(order, key, ts, "tokens", "_t", F.col("_c.b").alias("_b"), F.col("_c.halo").alias("_halo"))
+
+
 def rate_per_minute(df: DataFrame, key: str, ts: str = "ts", window_s: int = 60, payload: str = "props",
                     order: str = "event_id") -> DataFrame:
-    """Requests and tokens in the trailing window (now - t < window) per key, per event."""
-    x = with_tokens(df, payload).withColumn("_t", _us(ts))
-    w = Window.partitionBy(key).orderBy("_t").rangeBetween(-(window_s * 1_000_000 - 1), 0)
-    return x.select(order, key, ts, F.count(F.lit(1)).over(w).alias("requests_window"),
-                    F.sum("tokens").over(w).alias("tokens_window"))
+    """Requests and tokens in the trailing window (now - t < window) per key, per event.
+
+    A group is a key's time bucket of one window with the bucket before as halo, so a key with most of the events is
+    as many groups as it has windows. Events with a null time count among themselves.
+    """
+    wus = window_s * 1_000_000
+    w = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(-(wus - 1), 0)
+    x = _buckets(df, key, ts, order, payload, wus).withColumns({"requests_window": F.count(F.lit(1)).over(w), "tokens_window": F.sum("tokens").over(w)})
+    alone = Window.partitionBy(key)
+    known = x.where(~F.col("_halo") & F.col("_t").isNotNull()).select(order, key, ts, "requests_window", "tokens_window")
+    timeless = with_tokens(df, payload).where(F.col(ts).isNull()).select(
+        order, key, ts, F.count(F.lit(1)).over(alone).alias("requests_window"), F.sum("tokens").over(alone).alias("tokens_window"))
+    return known.unionByName(timeless)
 
 
 def daily_usage(df: DataFrame, key: str, ts: str = "ts", payload: str = "props") -> DataFrame:
@@ -129,15 +173,25 @@ def daily_usage(df: DataFrame, key: str, ts: str = "ts", payload: str = "props")
 
 def over_quota(df: DataFrame, key: str, limits: dict[str, int] = DEFAULT_LIMITS, ts: str = "ts",
                payload: str = "props", order: str = "event_id") -> DataFrame:
-    """Flag each event beyond the per-minute or per-day limits (counts include the event itself)."""
-    x = with_tokens(df, payload).withColumn("_t", _us(ts)).withColumn("_day", F.to_date(F.col(ts)))
-    wm = Window.partitionBy(key).orderBy("_t").rangeBetween(-(60 * 1_000_000 - 1), 0)
-    wd = Window.partitionBy(key, "_day").orderBy("_t", order).rowsBetween(Window.unboundedPreceding, 0)
-    return x.select(order, key, ts,
-                    (F.count(F.lit(1)).over(wm) > limits["rpm"]).alias("over_rpm"),
-                    (F.sum("tokens").over(wm) > limits["tpm"]).alias("over_tpm"),
-                    (F.count(F.lit(1)).over(wd) > limits["rpd"]).alias("over_rpd"),
-                    (F.sum("tokens").over(wd) > limits["tpd"]).alias("over_tpd"))
+    """Flag each event beyond the per-minute or per-day limits (counts include the event itself).
+
+    Minutes are the buckets of ``rate_per_minute``. A day's running counts are those inside the minute plus the sums of
+    the day's minutes before, a table of at most 1,440 rows per key and day. Events with a null time are left out.
+    """
+    wus = 60 * 1_000_000
+    x = _buckets(df.where(F.col(ts).isNotNull()), key, ts, order, payload, wus)
+    wm = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(-(wus - 1), 0)
+    run = Window.partitionBy(key, "_b").orderBy("_halo", "_t", order).rowsBetween(Window.unboundedPreceding, 0)  # own events first
+    x = x.withColumns({"_rm": F.count(F.lit(1)).over(wm), "_tm": F.sum("tokens").over(wm),
+                       "_rd": F.count(F.lit(1)).over(run), "_td": F.sum("tokens").over(run)}).where(~F.col("_halo"))
+    own = with_tokens(df.where(F.col(ts).isNotNull()), payload).select(key, F.floor(_us(ts) / wus).alias("_b"), "tokens")
+    sums = own.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_r"), F.sum("tokens").alias("_s"))
+    before = Window.partitionBy(key, F.floor(F.col("_b") / 1440)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(key, "_b", F.coalesce(F.sum("_r").over(before), F.lit(0)).alias("_r0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"))
+    x = join_on(x, sums, [key, "_b"])
+    return x.select(order, key, ts, (F.col("_rm") > limits["rpm"]).alias("over_rpm"), (F.col("_tm") > limits["tpm"]).alias("over_tpm"),
+                    (F.col("_rd") + F.col("_r0") > limits["rpd"]).alias("over_rpd"),
+                    (F.col("_td") + F.col("_s0") > limits["tpd"]).alias("over_tpd"))
 
 
 # ---------------------------------------------------------------- E7-E9

@@ -22,7 +22,7 @@ def test_events_of_two_keys_may_share_text_ids(spark):
             (None, "z", "2024-01-01 00:00:00"), (None, "w", "2024-01-01 00:00:01")]
     df = spark.createDataFrame(rows, "k string, event_id string, t string").select("k", "event_id", F.col("t").cast("timestamp_ntz").alias("ts"))
     want = {("a", "x"), ("b", "y"), (None, "z")}
-    for kept in (events.dedup_within(df, ["k"], window_s=60), events.dedup_within(df, ["k"], window_s=60, skew_safe=True),
+    for kept in (events.dedup_within(df, ["k"], window_s=60), events.dedup_within(df, ["k"], window_s=60, partitions=3),
                  events.dedup_seen(df, ["k"])):
         assert {(r["k"], r["event_id"]) for r in kept.collect()} == want and kept.count() == 3
 
