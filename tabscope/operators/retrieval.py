@@ -3,13 +3,12 @@
 Index tables (all keyed by ``(doc_id, chunk_no)``):
   chunks   (doc_id, chunk_no, text)
   dense    (doc_id, chunk_no, bucket, w)     hashed 1-2-gram counts, L2-normalised
-  postings (doc_id, chunk_no, term, w)       TF-IDF over the top ``max_features`` terms, L2-normalised
-  terms    (term, df, idf)                   the vocabulary (bounded by ``max_features``)
+  postings (doc_id, chunk_no, term, w)       TF-IDF, L2-normalised
+  terms    (term, df, idf)                   the vocabulary
 
-Scoring is a sparse dot product: query postings join chunk postings on the
-term / bucket, then ``groupBy(query, chunk).sum``. The query side is broadcast
-only when its posting count is under ``broadcast_rows`` (checked); otherwise it
-is a shuffle join that AQE splits on hot terms.
+Top-k searches run on block tables (``search``). ``dense_scores`` and
+``lexical_scores`` list every matching pair by sparse joins, for reports and as
+the plain twin of the searches.
 """
 
 from __future__ import annotations
@@ -26,13 +25,11 @@ from ..functions.scalar import safe_round as R
 CHUNK_SIZE = 1400
 CHUNK_OVERLAP = 220
 HASH_DIMS = 768
-MAX_FEATURES = 20000
 DENSE_WEIGHT = 0.6
 LEXICAL_WEIGHT = 0.4
 TOP_K = 8
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 LINE_BREAKS = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
-BROADCAST_ROWS = 2_000_000
 
 
 def _strip(col: Column) -> Column:
@@ -139,20 +136,20 @@ def hash_embed(df: DataFrame, keys: Sequence[str], text_col: str = "text", dims:
     return dense_from_counts(term_counts(df, keys, text_col), keys, dims)
 
 
-def tfidf_index(chunks: DataFrame, keys: Sequence[str] = ("doc_id", "chunk_no"), max_features: int = MAX_FEATURES,
+def tfidf_index(chunks: DataFrame, keys: Sequence[str] = ("doc_id", "chunk_no"), max_features: int | None = None,
                 tc: DataFrame | None = None):
-    """Smooth idf ln((1+n)/(1+df)) + 1 over the max_features most frequent terms; L2 rows.
+    """Smooth idf ln((1+n)/(1+df)) + 1; L2 rows. Returns (postings, terms).
 
-    Returns (postings, terms). The vocabulary is a global top-k (bounded by max_features).
+    All terms are kept, or the ``max_features`` most frequent if that is given.
     """
     keys = list(keys)
     tc = tc if tc is not None else term_counts(chunks, keys)
     n = chunks.select(*keys).distinct().agg(F.count(F.lit(1)).alias("n"))
     stats = tc.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    vocab = stats.orderBy(F.desc("total"), "term").limit(max_features)
+    vocab = stats if max_features is None else stats.orderBy(F.desc("total"), "term").limit(max_features)
     nn = n.scalar()
     terms = vocab.select("term", "df", (F.log((1 + nn) / (1 + F.col("df"))) + 1).alias("idf"))
-    post = tc.join(F.broadcast(terms.select("term", "idf")), "term").withColumn("x", F.col("tf") * F.col("idf"))
+    post = tc.join(terms.select("term", "idf"), "term").withColumn("x", F.col("tf") * F.col("idf"))
     return _l2(post, keys, "x").select(*keys, "term", "w"), terms
 
 
@@ -169,16 +166,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 # ---------------------------------------------------------------- R5-R8
 
-def _sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast only below a checked row count; otherwise leave the join to the planner (shuffle + AQE)."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def dense_scores(index: dict[str, DataFrame], queries: DataFrame, qid: str = "query_id", qtext: str = "text") -> DataFrame:
     """Cosine of hashed vectors (both sides L2-normalised): (query_id, doc_id, chunk_no, dense)."""
     q = hash_embed(queries.select(F.col(qid).alias("query_id"), F.col(qtext).alias("text")), ["query_id"])
     q = q.select("query_id", "bucket", F.col("w").alias("qw"))
-    j = index["dense"].join(_sized_broadcast(q), "bucket")
+    j = index["dense"].join(q, "bucket")
     return j.groupBy("query_id", "doc_id", "chunk_no").agg(F.sum(F.col("w") * F.col("qw")).alias("dense"))
 
 
@@ -186,156 +178,59 @@ def lexical_scores(index: dict[str, DataFrame], queries: DataFrame, qid: str = "
     """R6 (J3): TF-IDF dot product of query and chunk postings."""
     terms = index["terms"]
     qt = term_counts(queries.select(F.col(qid).alias("query_id"), F.col(qtext).alias("text")), ["query_id"])
-    qt = qt.join(F.broadcast(terms.select("term", "idf")), "term").withColumn("x", F.col("tf") * F.col("idf"))
+    qt = qt.join(terms.select("term", "idf"), "term").withColumn("x", F.col("tf") * F.col("idf"))
     qt = _l2(qt, ["query_id"], "x").select("query_id", "term", F.col("w").alias("qw"))
-    j = index["postings"].join(_sized_broadcast(qt), "term")
+    j = index["postings"].join(qt, "term")
     return j.groupBy("query_id", "doc_id", "chunk_no").agg(F.sum(F.col("w") * F.col("qw")).alias("lexical"))
 
 
 def minmax_normalize(scores: DataFrame, col: str, n_total: Column | int, by: str = "query_id") -> DataFrame:
     """(s - min) / (max - min + 1e-12) per query, unchanged when max = min.
 
-    Chunks absent from ``scores`` score 0, so the minimum is 0 whenever fewer than
-    ``n_total`` chunks matched.
+    Chunks absent from ``scores`` score 0, so the minimum is 0 whenever fewer than ``n_total`` chunks matched. The
+    extremes are one aggregate (partial per task) joined back, so no task holds a query's scores.
     """
-    w = Window.partitionBy(by)
-    cnt = F.count(F.lit(1)).over(w)
-    mn = F.when(cnt < n_total, F.least(F.lit(0.0), F.min(col).over(w))).otherwise(F.min(col).over(w))
-    mx = F.when(cnt < n_total, F.greatest(F.lit(0.0), F.max(col).over(w))).otherwise(F.max(col).over(w))
-    return scores.withColumn(f"{col}_norm", F.when(mx > mn, (F.col(col) - mn) / (mx - mn + 1e-12)).otherwise(F.col(col)))
+    g = scores.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.min(col).alias("_lo"), F.max(col).alias("_hi"))
+    lo = F.when(F.col("_n") < n_total, F.least(F.lit(0.0), F.col("_lo"))).otherwise(F.col("_lo"))
+    hi = F.when(F.col("_n") < n_total, F.greatest(F.lit(0.0), F.col("_hi"))).otherwise(F.col("_hi"))
+    g = g.select(by, lo.alias("_mn"), hi.alias("_mx"))
+    mn, mx = F.col("_mn"), F.col("_mx")
+    return scores.join(g, by).withColumn(f"{col}_norm", F.when(mx > mn, (F.col(col) - mn) / (mx - mn + 1e-12)).otherwise(F.col(col))).drop("_mn", "_mx")
 
 
 def _query_side(index: dict[str, DataFrame], queries: DataFrame, qid: str, qtext: str):
     """Query buckets and TF-IDF weights (bounded: queries x their own terms)."""
     q = queries.select(F.col(qid).alias("query_id"), F.col(qtext).alias("text"))
     qd = hash_embed(q, ["query_id"]).select("query_id", "bucket", F.col("w").alias("qw"))
-    qt = term_counts(q, ["query_id"]).join(F.broadcast(index["terms"].select("term", "idf")), "term") \
+    qt = term_counts(q, ["query_id"]).join(index["terms"].select("term", "idf"), "term") \
         .withColumn("x", F.col("tf") * F.col("idf"))
     ql = _l2(qt, ["query_id"], "x").select("query_id", "term", F.col("w").alias("qw"))
     return qd, ql
 
 
-def chunk_vectors(index: dict[str, DataFrame], term_idx: DataFrame | None = None) -> DataFrame:
-    """One row per chunk: dense (bucket, w) arrays and TF-IDF arrays, the latter as (term index, w)
-    over the terms of ``term_idx`` (term, tidx) only (a bounded, broadcast vocabulary)."""
-    d = index["dense"].groupBy("doc_id", "chunk_no").agg(F.collect_list("bucket").alias("b"), F.collect_list("w").alias("bw"))
-    post = index["postings"]
-    if term_idx is not None:
-        post = post.join(F.broadcast(term_idx), "term")
-    else:
-        post = post.withColumn("tidx", F.lit(None).cast("int"))
-    lx = post.groupBy("doc_id", "chunk_no").agg(F.collect_list("tidx").alias("t"), F.collect_list("w").alias("tw"))
-    return index["chunks"].select("doc_id", "chunk_no").join(d, ["doc_id", "chunk_no"], "left") \
-        .join(lx, ["doc_id", "chunk_no"], "left")
-
-
 def hybrid_search(index: dict[str, DataFrame], queries: DataFrame, k: int = TOP_K, qid: str = "query_id",
-                  qtext: str = "text", with_text: bool = False, max_matrix: int = 50_000_000) -> DataFrame:
+                  qtext: str = "text", with_text: bool = False, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """0.6 * dense + 0.4 * lexical (each min-max normalised over all chunks, per query), top k per query.
 
-    The query matrices (768 buckets x Q and query-terms x Q) are broadcast when their size is
-    under ``max_matrix`` entries (checked); each corpus partition is scored with two matrix
-    products and only its local top k per query leaves the task. A first pass over the
-    partitions gathers the per-query min / max needed for normalisation. Chunks with zero
-    dense and zero lexical similarity are not listed; ties break on (score, doc_id, chunk_no).
-    Beyond the size bound the sparse-join form (``hybrid_search_join``) is used.
+    Any number of queries with ids of any type. ``tables`` are the index's block tables (``search.search_tables``) if
+    they are stored; else they are made here. See ``search.hybrid_search``.
     """
-    import numpy as np
-    import pandas as pd
-
+    from . import search
     qd, ql = _query_side(index, queries, qid, qtext)
-    qids = sorted(r[0] for r in queries.select(qid).distinct().collect())
-    qterms = ql.select("term").distinct()
-    tl = sorted(r[0] for r in qterms.collect())
-    if len(qids) * (HASH_DIMS + len(tl)) > max_matrix:
-        return hybrid_search_join(index, queries, k, qid, qtext, with_text)
-    qpos = {q: i for i, q in enumerate(qids)}
-    tpos = {t: i for i, t in enumerate(tl)}
-    Qd = np.zeros((HASH_DIMS, len(qids)))
-    for r in qd.collect():
-        Qd[r["bucket"], qpos[r["query_id"]]] = r["qw"]
-    Ql = np.zeros((max(1, len(tl)), len(qids)))
-    for r in ql.collect():
-        Ql[tpos[r["term"]], qpos[r["query_id"]]] = r["qw"]
-    spark = index["chunks"].sparkSession
-    sc = spark.sparkContext
-    bc = sc.broadcast((np.array(qids, dtype=np.int64), Qd, Ql))
-    from ..session import cut_lineage
-    term_idx = spark.createDataFrame([(t, i) for t, i in tpos.items()], "term string, tidx int")
-    vecs = cut_lineage(chunk_vectors(index, term_idx))  # scanned twice (min/max pass, top-k pass)
-
-    def _flat(col, wcol):
-        lens = np.array([0 if v is None else len(v) for v in col], dtype=np.int64)
-        idx = np.concatenate([np.asarray(v, dtype=np.int64) for v in col if v is not None and len(v)] or [np.zeros(0, np.int64)])
-        w = np.concatenate([np.asarray(v, dtype=np.float64) for v in wcol if v is not None and len(v)] or [np.zeros(0)])
-        return lens, idx, w
-
-    def scores(pdf):
-        _, qd_, ql_ = bc.value
-        n, nq = len(pdf), qd_.shape[1]
-        lens, bidx, bw = _flat(pdf["b"], pdf["bw"])
-        B = np.zeros((n, HASH_DIMS))
-        B[np.repeat(np.arange(n), lens), bidx] = bw
-        dense = B @ qd_  # n x 768 @ 768 x Q
-        # lexical: sparse gather of query-term rows, summed per chunk in bounded slices
-        lens, tidx, tw = _flat(pdf["t"], pdf["tw"])
-        rows = np.repeat(np.arange(n), lens)
-        lex = np.zeros((n, nq))
-        step = max(1, 8_000_000 // max(nq, 1))
-        for s0 in range(0, len(tidx), step):
-            r, ti, w = rows[s0:s0 + step], tidx[s0:s0 + step], tw[s0:s0 + step]
-            starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-            lex[r[starts]] += np.add.reduceat(ql_[ti] * w[:, None], starts, axis=0)
-        return dense, lex
-
-    def stats_pass(batches):
-        qi = bc.value[0]
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            d, lx = scores(pdf)
-            yield pd.DataFrame({"query_id": qi, "dmin": d.min(0), "dmax": d.max(0), "lmin": lx.min(0), "lmax": lx.max(0)})
-
-    st = vecs.mapInPandas(stats_pass, "query_id long, dmin double, dmax double, lmin double, lmax double") \
-        .groupBy("query_id").agg(F.min("dmin").alias("dmin"), F.max("dmax").alias("dmax"),
-                                 F.min("lmin").alias("lmin"), F.max("lmax").alias("lmax")).toPandas()
-    st = st.set_index("query_id").reindex(qids)
-    bst = sc.broadcast(st[["dmin", "dmax", "lmin", "lmax"]].to_numpy())
-
-    def norm(x, lo, hi):
-        rng = hi - lo
-        return np.where(hi > lo, (x - lo) / (rng + 1e-12), x)
-
-    def top_pass(batches):
-        qi = bc.value[0]
-        mm = bst.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            d, lx = scores(pdf)
-            score = np.round(DENSE_WEIGHT * norm(d, mm[:, 0], mm[:, 1]) + LEXICAL_WEIGHT * norm(lx, mm[:, 2], mm[:, 3]), 6)
-            docs, chs = pdf["doc_id"].to_numpy(), pdf["chunk_no"].to_numpy()
-            for j in range(len(qi)):
-                keep = np.nonzero((d[:, j] > 0) | (lx[:, j] > 0))[0]
-                if not len(keep):
-                    continue
-                order = keep[np.lexsort((chs[keep], docs[keep], -score[keep, j]))][:k]
-                yield pd.DataFrame({"query_id": qi[j], "doc_id": docs[order], "chunk_no": chs[order],
-                                    "score": score[order, j], "dense": d[order, j], "lexical": lx[order, j]})
-
-    cand = vecs.mapInPandas(top_pass, "query_id long, doc_id long, chunk_no int, score double, dense double, lexical double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "chunk_no")
-    top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    out = top.select("query_id", "rank", "doc_id", "chunk_no", R("score").alias("score"), R("dense").alias("dense"),
-                     R("lexical").alias("lexical"))
-    if with_text:
-        out = out.join(index["chunks"], ["doc_id", "chunk_no"])
-    return out
+    out = search.hybrid_search(tables or search.search_tables(index), qd, ql, k, (DENSE_WEIGHT, LEXICAL_WEIGHT), HASH_DIMS)
+    return out.join(index["chunks"], ["doc_id", "chunk_no"]) if with_text else out
+
+
+def lexical_search(index: dict[str, DataFrame], queries: DataFrame, k: int = TOP_K, qid: str = "query_id", qtext: str = "text",
+                   tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """R6 (J3): the k chunks of largest TF-IDF dot product per query, exactly, by posting blocks with largest weights."""
+    from . import search
+    return search.lexical_search(tables or search.search_tables(index), _query_side(index, queries, qid, qtext)[1], k)
 
 
 def hybrid_search_join(index: dict[str, DataFrame], queries: DataFrame, k: int = TOP_K, qid: str = "query_id",
                   qtext: str = "text", with_text: bool = False) -> DataFrame:
-    """R8 by sparse joins (fallback when the query matrices are too large to broadcast).
+    """R8 by sparse joins over all matching pairs: the plain twin of ``hybrid_search``.
 
     Ties are broken by (doc_id, chunk_no). Chunks sharing no bucket and no term with a
     query have both scores 0 and are not listed.
@@ -359,67 +254,6 @@ def hybrid_search_join(index: dict[str, DataFrame], queries: DataFrame, k: int =
     return out
 
 
-def vector_scores(corpus: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id",
-                  vec_col: str = "embedding", qid: str = "query_id", max_queries: int = 10_000) -> DataFrame:
-    """R5 on stored vectors: exact cosine top k per query.
-
-    The (size-checked) query matrix is shipped to every task; each partition of the
-    corpus is scored with one matrix product and keeps only its own top k per query,
-    so the shuffle carries k x queries x partitions rows, never all pairs.
-    """
-    import numpy as np
-    import pandas as pd
-
-    qrows = queries.select(F.col(qid).alias("q"), F.col(vec_col).alias("v")).limit(max_queries + 1).collect()
-    if len(qrows) > max_queries:
-        raise ValueError(f"more than {max_queries} query vectors; use approx_neighbours")
-    qids = np.array([r["q"] for r in qrows], dtype=np.int64)
-    qm = np.array([r["v"] for r in qrows], dtype=np.float64).reshape(len(qrows), -1)
-    qm = qm / (np.linalg.norm(qm, axis=1, keepdims=True) + 1e-12)
-    bq = corpus.sparkSession.sparkContext.broadcast((qids, qm))
-
-    def score(batches):
-        qi, m = bq.value
-        for pdf in batches:
-            if pdf.empty or len(qi) == 0:
-                continue
-            v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            v = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12)
-            s = v @ m.T
-            kk = min(k, len(pdf))
-            ids = pdf["item_id"].to_numpy()
-            for j in range(len(qi)):
-                col = s[:, j]
-                top = np.lexsort((ids, -col))[:kk]
-                yield pd.DataFrame({"query_id": qi[j], "item_id": ids[top], "score": col[top]})
-
-    c = corpus.select(F.col(id_col).cast("long").alias("item_id"), F.col(vec_col).alias("v"))
-    sc = c.mapInPandas(score, "query_id long, item_id long, score double").withColumn("score", R("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return sc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
-        .select("query_id", "rank", "item_id", R("score").alias("score"))
-
-
-def approx_neighbours(corpus: DataFrame, queries: DataFrame, threshold: float = 1.0, bucket_length: float = 0.5,
-                      num_tables: int = 3, id_col: str = "vec_id", vec_col: str = "embedding",
-                      qid: str = "query_id", seed: int = 42) -> DataFrame:
-    """LSH similarity join on L2-normalised vectors (BucketedRandomProjectionLSH); no all-pairs pass."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df, idc, vc):
-        n = F.sqrt(F.aggregate(F.col(vc), F.lit(0.0), lambda a, x: a + x * x)) + 1e-12
-        return df.select(F.col(idc).alias("id"), array_to_vector(F.transform(F.col(vc), lambda x: x / n)).alias("features"))
-
-    a = unit(corpus, id_col, vec_col)
-    b = unit(queries, qid, vec_col)
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(a)
-    j = lsh.approxSimilarityJoin(b, a, threshold, distCol="distance")
-    return j.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("item_id"),
-                    R("distance").alias("distance"))
-
-
 def context_block(hits: DataFrame, chunks: DataFrame, max_blocks: int = 10, by_text: bool = False) -> DataFrame:
     """R10 (with U1): best score first, first hit per chunk (or per chunk and text), up to max_blocks,
     formatted ``[chunk:id score:x.xxx]`` + text and joined by a blank line, per request."""

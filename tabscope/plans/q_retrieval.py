@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_round as R
 from ..operators import retrieval as RT
+from ..operators import search as SR
 from .catalog import register
 from .sqlgen import r6
 from .tables import t
@@ -50,7 +51,7 @@ def index_sql():
     return f"""{chunks_sql()},
  tc AS (SELECT doc_id, chunk_no, term, count(*) AS tf FROM (SELECT doc_id, chunk_no, unnest({_terms('text')}) AS term FROM chunks) GROUP BY ALL),
  nch AS (SELECT count(*) AS n FROM chunks),
- vocab AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tc GROUP BY term ORDER BY total DESC, term LIMIT 20000),
+ vocab AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tc GROUP BY term),
  terms AS (SELECT term, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM vocab, nch),
  post0 AS (SELECT tc.doc_id, tc.chunk_no, tc.term, tf * idf AS x FROM tc JOIN terms USING (term)),
  post AS (SELECT doc_id, chunk_no, term, x / (sqrt(sum(x * x) OVER (PARTITION BY doc_id, chunk_no)) + 1e-12) AS w FROM post0),
@@ -89,12 +90,13 @@ def _queries(spark, sf):
 register("chunk_text", f"WITH RECURSIVE {chunks_sql()} SELECT doc_id, chunk_no, text FROM chunks")(
     lambda spark, sf: RT.chunk_text(t(spark, sf, "documents")))
 
-register("tokenize_ngrams", f"""SELECT doc_id, CAST(len({TOK.format(x='text')}) AS BIGINT) AS n_unigrams,
-  CAST(len({_terms('text')}) AS BIGINT) AS n_terms, {TOK.format(x='text')}[1] AS first_token FROM documents""")(
+register("tokenize_ngrams", f"""SELECT doc_id, CAST(len(tok) AS BIGINT) AS n_unigrams, CAST(len(tok) + greatest(len(tok) - 1, 0) AS BIGINT) AS n_terms,
+  tok[1] AS first_token, CASE WHEN len(tok) >= 2 THEN tok[1] || ' ' || tok[2] END AS first_bigram
+FROM (SELECT doc_id, {TOK.format(x='text')} AS tok FROM documents)""")(
     lambda spark, sf: t(spark, sf, "documents").select("doc_id", RT.tokens(F.col("text")).alias("tok"))
     .select("doc_id", "tok", RT.ngrams12_of(F.col("tok")).alias("terms"))
     .select("doc_id", F.size("tok").cast("long").alias("n_unigrams"), F.size("terms").cast("long").alias("n_terms"),
-            F.get("tok", 0).alias("first_token")))
+            F.get("tok", 0).alias("first_token"), F.get("terms", F.size("tok")).alias("first_bigram")))
 
 register("hash_embed", f"""WITH qtc AS (SELECT query_id, term, count(*) AS tf FROM (SELECT item_id AS query_id, unnest({_terms('text')}) AS term FROM benchmark) GROUP BY ALL),
  qdb AS (SELECT query_id, CAST(('0x' || substr(md5(term), 1, 8))::BIGINT % 768 AS INTEGER) AS bucket, CAST(sum(tf) AS DOUBLE) AS c FROM qtc GROUP BY ALL)
@@ -144,10 +146,31 @@ register("vector_scores", f"""WITH e AS (SELECT vec_id, label, unnest(embedding)
  sc AS (SELECT s.query_id, vec_id AS item_id, dot / ((nv + 1e-12) * (nq + 1e-12)) AS score FROM s JOIN nv USING (vec_id) JOIN nq USING (query_id)),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, item_id) AS rank FROM sc)
 SELECT query_id, rank, item_id, {r6('score')} AS score FROM r WHERE rank <= 10""")(
-    lambda spark, sf: RT.vector_scores(t(spark, sf, "embeddings"), _centroids(spark, sf), 10).withColumn("rank", F.col("rank").cast("long")))
+    lambda spark, sf: SR.vector_search(t(spark, sf, "embeddings"), _centroids(spark, sf), 10).withColumn("rank", F.col("rank").cast("long")))
 
-register("approx_neighbours")(
-    lambda spark, sf: RT.approx_neighbours(t(spark, sf, "embeddings"), _centroids(spark, sf), threshold=1.3))
+def _every_20th(spark, sf):
+    e = t(spark, sf, "embeddings")
+    return e, e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+register("approx_neighbours")(lambda spark, sf: SR.approx_neighbours(*_every_20th(spark, sf)).withColumn("rank", F.col("rank").cast("long")))
+
+
+def _recall(spark, sf):
+    e, q = _every_20th(spark, sf)
+    exact = SR.vector_search(e, q, 10)
+    kth = exact.groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("wanted"))
+    near = SR.approx_neighbours(e, q, 10).join(kth, "query_id")  # a neighbour as near as the tenth counts, whatever its id
+    found = near.groupBy("query_id").agg(F.count_if(F.col("score") >= F.col("kth")).alias("found"), F.max("wanted").alias("wanted"))
+    return found.agg(F.count(F.lit(1)).alias("n_queries"), (F.sum("found") / F.sum("wanted") >= 0.9).alias("recall_reached"))
+
+
+register("approx_neighbours_recall", "SELECT count(*) AS n_queries, true AS recall_reached FROM embeddings WHERE vec_id % 20 = 0")(_recall)
+
+register("lexical_search", f"""WITH RECURSIVE {index_sql()},
+ lt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 6) DESC, doc_id, chunk_no) AS rank FROM ls)
+SELECT query_id, rank, doc_id, chunk_no, {r6('lexical')} AS lexical FROM lt WHERE rank <= 8""")(
+    lambda spark, sf: RT.lexical_search(_index(spark, sf), _queries(spark, sf)))
 
 
 def _context(spark, sf):
