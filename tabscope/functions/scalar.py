@@ -107,3 +107,8 @@ def stable_unit(key) -> Column:
     """md5 hash of a key mapped to [0, 1)."""
     h = F.conv(F.substring(F.md5(c(key).cast("string")), 1, 8), 16, 10).cast("double")
     return h / F.lit(4294967296.0)
+
+
+def test_order(p, *ties):
+    """K3: sort keys of a table of tests: ascending p with null as 1, then the given columns."""
+    return [F.coalesce(c(p), F.lit(1.0)), *[c(x) for x in ties]]

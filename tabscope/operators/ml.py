@@ -283,7 +283,7 @@ def run_models(df: DataFrame, target: str, task: str, keys: Sequence[str], numer
                          cv["cv_std"], cv["cv_train_mean"], tem.get("rmse"), round(time.time() - t0, 3), None))
         except Exception as e:  # noqa: BLE001 - a failed model is a result row
             rows.append((name, family, "error", str(params), None, None, None, None, None, None,
-                         round(time.time() - t0, 3), str(e)[:300]))
+                         round(time.time() - t0, 3), str(e)))
     res = spark.createDataFrame(rows, "model string, family string, status string, params string, train_score double, "
                                       "test_score double, cv_mean double, cv_std double, cv_train_mean double, "
                                       "test_rmse double, elapsed_sec double, error string")

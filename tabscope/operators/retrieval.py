@@ -1,4 +1,4 @@
-"""Chunking, lexical + hashed-vector indexes, hybrid search, text field extraction.
+"""Chunking, lexical + hashed-vector indexes, hybrid search, sections.
 
 Index tables (all keyed by ``(doc_id, chunk_no)``):
   chunks   (doc_id, chunk_no, text)
@@ -254,21 +254,39 @@ def hybrid_search_join(index: dict[str, DataFrame], queries: DataFrame, k: int =
     return out
 
 
+def union_hits(hits: Sequence[DataFrame], by: Sequence[str], request: str = "request_id", max_hits: int | None = None) -> DataFrame:
+    """The hits of several queries as one list per request: the best score of each ``by`` (a tie goes to the lesser
+    query_id), ranked by (score desc, ``by``) in ``ord``; the first ``max_hits`` if given.
+
+    ``by`` is (doc_id, chunk_no), or with the text beside it. The best hit of an id is one aggregate, partial per task.
+    """
+    all_ = hits[0]
+    for h in hits[1:]:
+        all_ = all_.unionByName(h)
+    rest = [c for c in all_.columns if c not in (request, *by)]
+    g = all_.groupBy(request, *by).agg(F.min_by(F.struct(*rest), F.struct(-F.col("score"), "query_id")).alias("_h")).select(request, *by, "_h.*")
+    w = Window.partitionBy(request).orderBy(F.desc("score"), *by)
+    out = g.withColumn("ord", F.row_number().over(w))
+    return out if max_hits is None else out.where(F.col("ord") <= max_hits)
+
+
 def context_block(hits: DataFrame, chunks: DataFrame, max_blocks: int = 10, by_text: bool = False) -> DataFrame:
-    """R10 (with U1): best score first, first hit per chunk (or per chunk and text), up to max_blocks,
-    formatted ``[chunk:id score:x.xxx]`` + text and joined by a blank line, per request."""
-    j = hits.join(chunks, ["doc_id", "chunk_no"])
-    key = ["request_id", "doc_id", "chunk_no"] + (["text"] if by_text else [])
-    w1 = Window.partitionBy(*key).orderBy(F.desc("score"), "query_id")
-    best = j.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") == 1)
-    w2 = Window.partitionBy("request_id").orderBy(F.desc("score"), "doc_id", "chunk_no")
-    best = best.withColumn("ord", F.row_number().over(w2)).where(F.col("ord") <= max_blocks)
+    """R10 (with U1): best score first, first hit per chunk (or per chunk and text), up to max_blocks (the feature's
+    size of an answer), formatted ``[chunk:id score:x.xxx]`` + text and joined by a blank line, per request.
+
+    Only the ids are ranked; the texts of the ``max_blocks`` hits of a request are fetched afterwards.
+    """
+    keys = ["doc_id", "chunk_no"]
+    if by_text:
+        best = union_hits([hits.join(chunks, keys)], [*keys, "text"], max_hits=max_blocks)
+    else:
+        best = union_hits([hits], keys, max_hits=max_blocks).join(chunks, keys)
     block = F.format_string("[chunk:%s score:%.3f]\n%s", F.concat_ws(":", "doc_id", "chunk_no"), F.col("score"), F.col("text"))
     g = best.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("ord", block.alias("b")))).alias("bs"))
     return g.select("request_id", F.array_join(F.transform("bs", lambda s: s["b"]), "\n\n").alias("context"))
 
 
-# ---------------------------------------------------------------- R11, R12
+# ---------------------------------------------------------------- R11
 
 HEADING_PATTERN = r"^[A-Z][A-Z\s:/()_-]{6,}$"
 
@@ -287,56 +305,3 @@ def extract_section(df: DataFrame, keyword: str, id_col: str = "doc_id", text_co
     sec = x.join(ends, "doc_id", "left").where(F.col("e").isNull() | (F.col("i") < F.col("e")))
     g = sec.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", "line"))).alias("ls"))
     return g.select("doc_id", _strip(F.array_join(F.transform("ls", lambda s: s["line"]), "\n")).alias("section"))
-
-
-# Report field patterns (case-insensitive), first match wins, in this order.
-FIELD_PATTERNS = {
-    "task_type": [r"task[_\s]*type\s*[:\-]\s*(\w+)", r"TASK\s*[:\-]\s*(\w+)"],
-    "n_samples": [r"Total samples\s*[:\-]\s*([\d,]+)", r"Samples\s*[:\-]\s*([\d,]+)", r"\((\d+),\s*\d+\)"],
-    "n_features": [r"Features\s*[:\-]\s*(\d+)"],
-    "n_train": [r"Train(?:ing)? samples\s*[:\-]\s*([\d,]+)", r"Train\s*[:\-]\s*(\d+)"],
-    "n_test": [r"Test\s+samples\s*[:\-]\s*([\d,]+)", r"Test\s*[:\-]\s*(\d+)"],
-    "train_r2": [r"Train R\s*2\s*[:\-]\s*(-?[\d.]+)", r"Train R\^2\s*[:\-]\s*(-?[\d.]+)"],
-    "test_r2": [r"Test\s+R\s*2\s*[:\-]\s*(-?[\d.]+)", r"Test\s+R\^2\s*[:\-]\s*(-?[\d.]+)"],
-    "train_rmse": [r"Train RMSE\s*[:\-]\s*([\d.]+)"],
-    "test_rmse": [r"Test\s+RMSE\s*[:\-]\s*([\d.]+)"],
-    "train_mae": [r"Train MAE\s*[:\-]\s*([\d.]+)"],
-    "test_mae": [r"Test\s+MAE\s*[:\-]\s*([\d.]+)"],
-    "train_acc": [r"Train Acc(?:uracy)?\s*[:\-]\s*([\d.]+)"],
-    "test_acc": [r"Test\s+Acc(?:uracy)?\s*[:\-]\s*([\d.]+)"],
-    "train_f1": [r"Train F1\s*[:\-]\s*([\d.]+)"],
-    "test_f1": [r"Test\s+F1\s*[:\-]\s*([\d.]+)"],
-    "train_auc": [r"Train AUC\s*[:\-]\s*([\d.]+)"],
-    "test_auc": [r"Test\s+AUC\s*[:\-]\s*([\d.]+)"],
-    "cv_mean": [r"Mean Score\s*[:\-]\s*([\d.]+)", r"CV\s+Mean\s*[:\-]\s*([\d.]+)"],
-    "cv_std": [r"Std\s+Score\s*[:\-]\s*([\d.]+)", r"CV\s+Std\s*[:\-]\s*([\d.]+)"],
-    "target_skewness": [r"Skewness\s*[:\-]\s*(-?[\d.]+)"],
-    "n_duplicates": [r"(\d+)\s+duplicate rows"],
-    "n_outliers": [r"Total outlier samples\s*[:\-]\s*(\d+)", r"(\d+)\s+outlier(?:\s+sample)?s"],
-    "depth": [r"depth\s*[:\-=]\s*(\d+)", r"max.depth\s*[:\-=]\s*(\d+)"],
-    "lr": [r"learning.rate\s*[:\-=]\s*([\d.]+)"],
-    "iterations": [r"iterations\s*[:\-=]\s*(\d+)", r"n.estimators\s*[:\-=]\s*(\d+)", r"Trees built\s*[:\-]\s*(\d+)",
-                   r"n_trees\s*[:\-=]\s*(\d+)"],
-    "best_iter": [r"Best iteration\s*[:\-]\s*(\d+)", r"best.round\s*[:\-]\s*(\d+)"],
-}
-TEXT_FIELDS = {"task_type"}
-
-
-def field_expr(text: Column, name: str) -> Column:
-    """First pattern that matches and parses wins (numbers: commas removed, then a double)."""
-    outs = []
-    for p in FIELD_PATTERNS[name]:
-        m = F.regexp_extract(text, "(?i)" + p, 1)
-        hit = text.rlike("(?i)" + p)
-        if name in TEXT_FIELDS:
-            outs.append(F.when(hit, _strip(m)))
-        else:
-            outs.append(F.when(hit, F.regexp_replace(m, ",", "").try_cast("double")))
-    return F.coalesce(*outs)
-
-
-def extract_fields(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   fields: Sequence[str] | None = None) -> DataFrame:
-    """One column per report field."""
-    names = list(fields) if fields is not None else list(FIELD_PATTERNS)
-    return df.select(F.col(id_col).alias("doc_id"), *[field_expr(F.col(text_col), n).alias(n) for n in names])

@@ -156,80 +156,7 @@ def severity_rollup(findings: DataFrame, file_col: str = "file_id") -> DataFrame
         .withColumn("pentest_passed", (F.col("critical") == 0) & (F.col("high") == 0))
 
 
-# ---------------------------------------------------------------- V1-V4
-
-def _gap(run: DataFrame) -> Column:
-    have = set(run.columns)
-    g = F.col("train_score") - F.col("test_score")
-    return F.coalesce(F.col("r2_gap"), g) if "r2_gap" in have else g
-
-
-def diagnose_fit(runs: DataFrame, id_col: str = "run_id") -> DataFrame:
-    """V1: table of runs -> finding rows (run, kind, code).
-
-    Columns used when present: task, train_score, test_score, r2_gap, n_duplicates, dup_pct,
-    missing_vals, target_skewness, cv_std, iterations, best_iter.
-    """
-    have = set(runs.columns)
-
-    def col(name, default=None):
-        return F.col(name) if name in have else F.lit(default)
-
-    tr, te = col("train_score"), col("test_score")
-    reg = F.coalesce(col("task"), F.lit("regression")) == "regression"
-    gap = _gap(runs) if "train_score" in have else col("r2_gap")
-    under = (tr.isNotNull() & te.isNotNull() &
-             ((reg & (tr < 0.6) & (te < 0.6)) | (~reg & (tr < 0.70) & (te < 0.70))))
-
-    def f(cond, kind, code):
-        return F.when(cond, F.struct(F.lit(kind).alias("kind"), F.lit(code).alias("code")))
-
-    fit = [f(gap.isNotNull() & (gap < -0.05), "issue", "possible_leakage"),
-           f(gap.isNotNull() & (gap >= -0.05) & (gap > 0.25), "issue", "overfit_severe"),
-           f(gap.isNotNull() & (gap <= 0.25) & (gap > 0.12), "issue", "overfit_moderate"),
-           f(gap.isNotNull() & (gap <= 0.12) & (gap > 0.05), "warning", "overfit_mild"),
-           f(gap.isNotNull() & (gap >= -0.05) & (gap <= 0.05), "strength", "aligned"),
-           f(gap.isNull(), "warning", "gap_unknown"),
-           f(under, "issue", "underfit")]
-    ok = te.isNotNull() & (te >= 0) & ~under
-    bands = [f(ok & reg & (te >= 0.90), "strength", "excellent"),
-             f(ok & reg & (te < 0.90) & (te >= 0.80), "strength", "strong"),
-             f(ok & reg & (te < 0.80) & (te >= 0.70), "warning", "decent"),
-             f(ok & reg & (te < 0.70) & (te >= 0.50), "issue", "weak"),
-             f(ok & reg & (te < 0.50), "issue", "very_weak"),
-             f(ok & ~reg & (te >= 0.90), "strength", "excellent"),
-             f(ok & ~reg & (te < 0.90) & (te >= 0.80), "strength", "strong"),
-             f(ok & ~reg & (te < 0.80) & (te >= 0.70), "warning", "moderate"),
-             f(ok & ~reg & (te < 0.70), "issue", "low")]
-    dup, dpct = F.coalesce(col("n_duplicates"), F.lit(0)), F.coalesce(col("dup_pct"), F.lit(0.0))
-    sk, cvs = col("target_skewness"), col("cv_std")
-    it, bi = col("iterations"), col("best_iter")
-    ratio = F.when((it > 0) & bi.isNotNull(), bi / it)
-    data = [f((dup > 0) & (dpct > 5), "issue", "duplicates"), f((dup > 0) & (dpct <= 5), "warning", "duplicates"),
-            f(F.coalesce(col("missing_vals"), F.lit(False)), "warning", "missing_values"),
-            f(sk.isNotNull() & (sk > 0.75), "issue", "right_skewed_target"),
-            f(sk.isNotNull() & (sk < -0.75), "issue", "left_skewed_target"),
-            f(sk.isNotNull() & (sk >= -0.75) & (sk <= 0.75), "strength", "mild_skew"),
-            f(cvs.isNotNull() & (cvs > 0.05), "warning", "cv_unstable"),
-            f(ratio.isNotNull() & (ratio >= 0.99), "warning", "no_early_stop"),
-            f(ratio.isNotNull() & (ratio < 0.6), "warning", "capacity_wasted")]
-    arr = F.filter(F.array(*(fit + bands + data)), lambda x: x.isNotNull())
-    return runs.select(F.col(id_col).alias("run_id"), F.explode(arr).alias("f")).select("run_id", "f.kind", "f.code")
-
-
-def diagnose_reports(reports: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """V4: report texts -> extracted fields (R12) -> findings (V1), all reports at once."""
-    from .retrieval import extract_fields
-    f = extract_fields(reports, id_col, text_col)
-    low = F.lower(F.col("task_type"))
-    task = F.when(low.contains("classif"), "classification").when(low.contains("regress"), "regression")
-    runs = f.select(F.col("doc_id").alias("run_id"), F.coalesce(task, F.lit("regression")).alias("task"),
-                    F.coalesce("train_r2", "train_acc", "train_f1").alias("train_score"),
-                    F.coalesce("test_r2", "test_acc", "test_f1").alias("test_score"),
-                    F.col("n_duplicates"), F.col("target_skewness"), F.col("cv_std"),
-                    F.col("iterations"), F.col("best_iter"))
-    return diagnose_fit(runs)
-
+# ---------------------------------------------------------------- V2, V3 (V1, V4: reports)
 
 def auto_features(df: DataFrame, target: str, order_by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """V2: profile once, fire the universal / semantic / data-driven rules, and apply them.

@@ -18,7 +18,6 @@ from .common import INTEGRAL, NUMERIC, TEMPORAL, long_form, numeric_columns, tex
 from .profile import KPI_KEYWORDS, distinct_counts
 
 # Type-detection thresholds.
-DATETIME_SAMPLE_N = 200
 DATETIME_HIT_RATE = 0.80
 HIGH_CARD_THR = 20
 LOW_CARD_TRAIN_THR = 15
@@ -72,15 +71,13 @@ def _ci(pattern: str) -> str:
 
 # ---------------------------------------------------------------- T1, T2
 
-def column_tags(df: DataFrame, order_by: Sequence[str] | None = None, sample_n: int = DATETIME_SAMPLE_N,
-                hit_rate: float = DATETIME_HIT_RATE) -> DataFrame:
+def column_tags(df: DataFrame, hit_rate: float = DATETIME_HIT_RATE) -> DataFrame:
     """Boolean, datetime, numeric, then text: datetime_string / mixed / categorical.
 
-    Text columns are judged on their first ``sample_n`` non-null values in
-    ``order_by`` order (a per-column top-k, limited before the shuffle).
+    A text column is judged on all its non-null values, all columns in one aggregate: datetime_string if at least
+    ``hit_rate`` of them parse as times, mixed if they are of more than one kind (number, time, other).
     """
-    tags = {}
-    texts = []
+    tags, texts = {}, []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.BooleanType):
             tags[f.name] = "boolean"
@@ -92,23 +89,18 @@ def column_tags(df: DataFrame, order_by: Sequence[str] | None = None, sample_n:
             texts.append(f.name)
         else:
             tags[f.name] = "categorical"
+    found = []
+    for c in texts:
+        v = F.col(c)
+        is_num, is_ts = to_number(v).isNotNull(), v.try_cast("timestamp").isNotNull()
+        kinds = [is_num, is_ts & ~is_num, v.isNotNull() & ~is_num & ~is_ts]
+        hit = F.avg(F.when(v.isNotNull(), is_ts.cast("double")))
+        mixed = sum((F.max(k.cast("int")) for k in kinds), F.lit(0)) > 1
+        found.append(F.when(hit >= hit_rate, "datetime_string").when(mixed, "mixed").otherwise("categorical").alias(c))
     meta = column_meta(df)
     fixed = F.create_map(*[x for k, v in tags.items() for x in (F.lit(k), F.lit(v))]) if tags else None
     if texts:
-        order = list(order_by or [])
-        long = long_form(df, texts, cast="string", ids=order)
-        w = Window.partitionBy("column").orderBy(*[F.col(o) for o in order] or [F.col("value")])
-        samp = long.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= sample_n)
-        v = F.col("value")
-        is_num = to_number(v).isNotNull()
-        is_ts = v.try_cast("timestamp").isNotNull()
-        kind = F.when(is_num, "number").when(is_ts, "date").otherwise("text")
-        s = samp.groupBy("column").agg(F.avg(is_ts.cast("double")).alias("_hit"),
-                                       F.count_distinct(kind).alias("_kinds"))
-        t = (F.when(F.col("_hit") >= hit_rate, "datetime_string").when(F.col("_kinds") > 1, "mixed")
-             .otherwise("categorical"))
-        s = s.select("column", t.alias("_tag"))
-        meta = meta.join(F.broadcast(s), "column", "left")
+        meta = meta.join(F.broadcast(df.agg(*found).unpivot([], texts, "column", "_tag")), "column", "left")
     else:
         meta = meta.withColumn("_tag", F.lit(None).cast("string"))
     tag = F.coalesce(F.element_at(fixed, F.col("column")) if fixed is not None else F.lit(None).cast("string"),
@@ -123,10 +115,10 @@ def resolve_target(df: DataFrame, requested: str | None = None) -> tuple[str | N
     return (df.columns[-1] if df.columns else None), "fallback_last_column"
 
 
-def overview(df: DataFrame, target: str | None = None, order_by: Sequence[str] | None = None) -> DataFrame:
+def overview(df: DataFrame, target: str | None = None) -> DataFrame:
     """Rows, columns, columns per tag, target and its source."""
     tgt, src = resolve_target(df, target)
-    tags = column_tags(df, order_by)
+    tags = column_tags(df)
     n = df.agg(F.count(F.lit(1)).alias("n_rows"))
     t = tags.agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("tag") == k,
                                                                             F.struct("ordinal", "column")))),
@@ -238,18 +230,18 @@ def numeric_feature_names(df: DataFrame, target: str | None = None) -> DataFrame
     return m.where(~F.col("column").rlike(_ci(KNOWN_BINARY_PATTERN))).select("column")
 
 
-def select_numeric_columns(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int | None = 12) -> DataFrame:
-    """Keep non_null >= 25 and distinct >= 3; order by (non_null, |variance|) desc; first N."""
+def select_numeric_columns(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int | None = None) -> DataFrame:
+    """Keep non_null >= 25 and distinct >= 3; order by (non_null, |variance|) desc; the first ``max_cols`` if given.
+
+    Numeric columns are taken as they are, text columns as the numbers they hold; one aggregate over both.
+    """
     cols = list(cols) if cols is not None else numeric_columns(df)
-    long = long_form(df, [c for c in cols], cast="string")
-    num = long.select("column", to_number(F.col("value")).alias("value")).where(F.col("value").isNotNull())
-    per_val = num.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
-    g = per_val.groupBy("column").agg(
-        F.sum("_n").alias("non_null"), F.count(F.lit(1)).alias("nunique"))
-    var = num.groupBy("column").agg(F.abs(F.coalesce(F.round(F.var_samp("value"), 6), F.lit(0.0))).alias("variance"))
-    j = g.join(F.broadcast(var), "column").where((F.col("non_null") >= 25) & (F.col("nunique") >= 3))
-    out = j.select("column", F.col("non_null").cast("long").alias("non_null"), "variance")
-    out = out.orderBy(F.desc("non_null"), F.desc("variance"), "column")
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    num = df.select(*[(to_number(F.col(c)) if c in texts else F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in cols])
+    long = long_form(num, cols)
+    g = long.groupBy("column").agg(F.count(F.lit(1)).alias("non_null"), F.abs(F.coalesce(F.round(F.var_samp("value"), 6), F.lit(0.0))).alias("variance"))
+    g = g.join(F.broadcast(distinct_counts(num, cols)), "column").where((F.col("non_null") >= 25) & (F.col("n_unique") >= 3))
+    out = g.select("column", "non_null", "variance").orderBy(F.desc("non_null"), F.desc("variance"), "column")
     return out.limit(max_cols) if max_cols else out
 
 
@@ -262,8 +254,8 @@ def feature_schema(df: DataFrame, target: str, order_by: Sequence[str]) -> DataF
     return column_meta(df).join(ex, "column").select("ordinal", "column", "dtype", "example")
 
 
-def kpi_column_names(df: DataFrame, keywords: Sequence[str] = KPI_KEYWORDS, k: int = 3) -> DataFrame:
-    """Numeric names containing a KPI keyword (first k), default the first k numerics."""
+def kpi_column_names(df: DataFrame, keywords: Sequence[str] = KPI_KEYWORDS, k: int | None = None) -> DataFrame:
+    """Numeric names containing a KPI keyword, default all numerics (the first k if given)."""
     nums = numeric_columns(df)
     m = column_meta(df).where(F.col("column").isin(nums))
     hit = F.lit(False)
@@ -273,4 +265,4 @@ def kpi_column_names(df: DataFrame, keywords: Sequence[str] = KPI_KEYWORDS, k: i
     w = Window.partitionBy("_hit").orderBy("ordinal")
     any_hit = F.max(F.col("_hit").cast("int")).over(Window.partitionBy())
     m = m.withColumn("_rn", F.row_number().over(w)).withColumn("_any", any_hit == 1)
-    return m.where((F.col("_rn") <= k) & (F.col("_hit") == F.col("_any"))).select("ordinal", "column")
+    return m.where((F.lit(k is None) | (F.col("_rn") <= (k or 0))) & (F.col("_hit") == F.col("_any"))).select("ordinal", "column")

@@ -257,5 +257,5 @@ register("dependency_network")(lambda spark, sf: H.dependency_network(
 register("correlation_network", f"""WITH p AS ({_pearson_sql('lineitem', LI)}),
  s AS (SELECT * FROM p WHERE abs_r >= 0.6),
  src AS (SELECT * FROM s UNION ALL SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM s))
-SELECT col1 AS source, col2 AS target, pearson_r AS weight FROM src ORDER BY abs_r DESC, col1, col2 LIMIT 10""")(
+SELECT col1 AS source, col2 AS target, pearson_r AS weight FROM src""")(
     lambda spark, sf: H.correlation_network(t(spark, sf, "lineitem"), LI)[0])

@@ -137,15 +137,25 @@ register("keyword_route", _route_sql())(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text"), "msg_id", "text"))
 
 
+# Messages with a phrase made by rule, so that every flow occurs (both engines).
+FLOW_SQL = """(SELECT conv_id * 1000 + turn AS msg_id, coalesce(text, '') || CASE (conv_id + turn) % 6 WHEN 0 THEN ' please TRAIN the churn model'
+  WHEN 1 THEN ' deploy it' WHEN 2 THEN ' security audit of the model' WHEN 3 THEN ' explain the training process' WHEN 4 THEN ' merge the pipeline branch'
+  ELSE '' END AS text FROM conversations)"""
+
+
+def _flow_messages(spark, sf):
+    t(spark, sf, "conversations").createOrReplaceTempView("conversations")
+    return spark.sql(f"SELECT * FROM {FLOW_SQL}")
+
+
 def _flow_sql():
     def anyc(ws):
         return "(" + " OR ".join(f"contains(x, '{w}')" for w in ws) + ")"
-    return f"""SELECT conv_id * 1000 + turn AS msg_id, CASE WHEN {anyc(E.TRAINING_PROCESS_KEYWORDS)} THEN 'training_process'
+    return f"""SELECT msg_id, CASE WHEN {anyc(E.TRAINING_PROCESS_KEYWORDS)} THEN 'training_process'
   WHEN NOT {anyc(E.BUILD_EXCLUDE_SECURITY)} AND NOT {anyc(E.BUILD_EXCLUDE_GIT)} AND {anyc(E.BUILD_FLOW_KEYWORDS)} THEN 'build'
   WHEN contains(x, 'deploy') THEN 'deploy' ELSE 'other' END AS flow
-FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS x FROM conversations)"""
+FROM (SELECT msg_id, lower(text) AS x FROM {FLOW_SQL})"""
 
 
 register("flow_classify", _flow_sql())(
-    lambda spark, sf: t(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), E.flow_classify(F.col("text")).alias("flow")))
+    lambda spark, sf: _flow_messages(spark, sf).select("msg_id", E.flow_classify(F.col("text")).alias("flow")))

@@ -147,3 +147,36 @@ UNION ALL SELECT 'toxic', bool_and(toxic IN (0, 1)) FROM labels UNION ALL SELECT
 
 register("distinct_rows", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")(
     lambda spark, sf: t(spark, sf, "orders").select("o_orderstatus", "o_orderpriority").distinct())
+
+
+def _sorted_tests(spark, sf):
+    """Tests with a p-value made by rule (null for every fifth), in K3's order."""
+    from ..functions.scalar import test_order
+    from ..operators.window import global_row_index
+    p = t(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("p_partkey") % 7 / 7.0).alias("p_value"))
+    keys = test_order("p_value", "p_partkey")
+    ranked = global_row_index(p.withColumns({f"_k{i}": k for i, k in enumerate(keys)}), [f"_k{i}" for i in range(len(keys))], out="place")
+    return ranked.select("p_partkey", R("p_value").alias("p_value"), "place")
+
+
+register("sort_tests_by_p", """SELECT p_partkey, round(p, 6) AS p_value, row_number() OVER (ORDER BY coalesce(p, 1), p_partkey) - 1 AS place
+FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 7 / 7.0 END AS p FROM part)""")(_sorted_tests)
+
+register("alias_overlap", """SELECT a.p_partkey, lower(a.p_brand) = lower(b.p_brand) OR lower(a.p_type) = lower(b.p_type) OR lower(a.p_brand) = lower(b.p_type)
+  OR lower(a.p_type) = lower(b.p_brand) AS overlap FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")(
+    lambda spark, sf: (lambda p: p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.upper("p_brand").alias("b2"), F.col("p_type").alias("t2")), "p_partkey")
+                       .select("p_partkey", IO.alias_overlap(F.array("p_brand", "p_type"), F.array("b2", "t2")).alias("overlap")))(t(spark, sf, "part")))
+
+_HITS = "SELECT 1 + l_orderkey % 40 AS request_id, l_partkey AS doc_id, CAST(l_linenumber % 2 AS INTEGER) AS chunk_no, l_suppkey AS query_id, l_quantity AS score FROM lineitem"
+
+
+def _union_hits(spark, sf):
+    from ..operators.retrieval import union_hits
+    t(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
+    hits = spark.sql(_HITS)
+    return union_hits([hits.where("query_id % 2 = 0"), hits.where("query_id % 2 = 1")], ["doc_id", "chunk_no"], max_hits=12).withColumn("ord", F.col("ord").cast("long"))
+
+
+register("union_hits", f"""WITH h AS ({_HITS}), b AS (SELECT *, row_number() OVER (PARTITION BY request_id, doc_id, chunk_no ORDER BY score DESC, query_id) AS r FROM h),
+ o AS (SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY request_id ORDER BY score DESC, doc_id, chunk_no) AS ord FROM b WHERE r = 1)
+SELECT * FROM o WHERE ord <= 12""")(_union_hits)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import profile as P
 from .catalog import register
 from .sqlgen import EVENTS_NULLS_SQL, long_sql, r6
-from .tables import events_nulls, t
+from .tables import SPIKED_SQL, events_nulls, spiked, t
 
 LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LI_ALL = LI_NUM + ["l_returnflag", "l_linestatus", "l_shipdate"]
@@ -121,7 +121,7 @@ OUT_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey"]
 
 
 def _outliers_sql():
-    src = long_sql("lineitem", OUT_COLS)
+    src = long_sql(SPIKED_SQL, OUT_COLS)
     return f"""WITH l AS {src}, {_fences_cte('l')},
  c AS (SELECT l."column", count_if(value < lo OR value > hi) AS iqr_outliers,
    count_if(value < lo3 OR value > hi3) AS extreme_outliers,
@@ -135,7 +135,7 @@ FROM c JOIN f ON c."column" = f."column" WHERE iqr_outliers > 0"""
 
 
 register("outliers_by_column", _outliers_sql())(
-    lambda spark, sf: P.outliers_by_column(t(spark, sf, "lineitem"), OUT_COLS))
+    lambda spark, sf: P.outliers_by_column(spiked(spark, sf), OUT_COLS))
 
 
 def _boxplot_sql():
@@ -193,14 +193,14 @@ def _anomalies_sql():
     for c in ["l_quantity", "l_extendedprice"]:
         parts.append(f"""SELECT '{c}' AS "column", 'negative_where_unexpected' AS type, count_if({c} < 0) AS count,
   {r6(f"arg_min(CASE WHEN {c} < 0 THEN {c} END, CASE WHEN {c} < 0 THEN ({', '.join(LI_ORDER)}) END)")} AS example
-  FROM lineitem""")
+  FROM {SPIKED_SQL}""")
     parts.append("""SELECT 'l_extendedprice' AS "column", 'zero_where_suspicious' AS type,
-  count_if(l_extendedprice = 0) AS count, CAST(NULL AS DOUBLE) AS example FROM lineitem""")
+  count_if(l_extendedprice = 0) AS count, CAST(NULL AS DOUBLE) AS example FROM """ + SPIKED_SQL)
     return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE count > 0"
 
 
 register("numeric_anomalies", _anomalies_sql())(
-    lambda spark, sf: P.numeric_anomalies(t(spark, sf, "lineitem"), LI_ORDER))
+    lambda spark, sf: P.numeric_anomalies(spiked(spark, sf), LI_ORDER))
 
 
 def _pystrip(e):
@@ -325,6 +325,18 @@ register("distinct_counts", "SELECT \"column\", count(DISTINCT value) AS n_uniqu
          long_sql("lineitem", LI_ALL, cast="VARCHAR") + " GROUP BY \"column\"")(
     lambda spark, sf: P.distinct_counts(t(spark, sf, "lineitem"), LI_ALL))
 
+
+
+def _sketch_error(spark, sf):
+    li = t(spark, sf, "lineitem")
+    halves = P.distinct_sketches(li.where("l_orderkey % 2 = 0")).unionByName(P.distinct_sketches(li.where("l_orderkey % 2 = 1")))
+    near = P.sketch_counts(P.merge_sketches(halves)).withColumnRenamed("n_unique", "near")
+    return P.distinct_counts(li).join(near, "column").select("column", "n_unique", (F.abs(F.col("near") / F.col("n_unique") - 1) <= 0.05).alias("within_5_pct"))
+
+
+register("distinct_sketches", "SELECT \"column\", count(DISTINCT value) AS n_unique, true AS within_5_pct FROM " +
+         long_sql("lineitem", LI_ALL, cast="VARCHAR") + " GROUP BY \"column\"")(_sketch_error)
+
 ORD_NUM = ["o_orderkey", "o_custkey", "o_totalprice"]
 
 register("monthly_trend", f"""SELECT 'o_orderdate' AS date_column, month, "column", {r6('avg(value)')} AS avg,

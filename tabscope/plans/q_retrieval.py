@@ -198,24 +198,3 @@ register("extract_section", f"""WITH ln AS (SELECT doc_id, unnest(string_split(t
 SELECT x.doc_id, {_strip("string_agg(line, chr(10) ORDER BY i)")} AS section FROM x LEFT JOIN en USING (doc_id)
 WHERE e IS NULL OR i < e GROUP BY x.doc_id""")(
     lambda spark, sf: RT.extract_section(t(spark, sf, "documents"), "license"))
-
-
-def _fields_sql():
-    cols = []
-    for name, pats in RT.FIELD_PATTERNS.items():
-        outs = []
-        for p in pats:
-            ps = p.replace("'", "''")
-            m = f"regexp_extract(text, '(?i){ps}', 1)"
-            hit = f"regexp_matches(text, '(?i){ps}')"
-            if name in RT.TEXT_FIELDS:
-                outs.append(f"CASE WHEN {hit} THEN {_strip(m)} END")
-            else:
-                outs.append(f"CASE WHEN {hit} THEN TRY_CAST(replace({m}, ',', '') AS DOUBLE) END")
-        cols.append(f"coalesce({', '.join(outs)}) AS {name}")
-    return f"SELECT conv_id * 1000 + turn AS doc_id, {', '.join(cols)} FROM conversations"
-
-
-register("extract_field", _fields_sql())(
-    lambda spark, sf: RT.extract_fields(t(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")))

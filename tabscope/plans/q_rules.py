@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import retrieval as RT
 from ..operators import rules as X
 from .catalog import register
 from .tables import t
@@ -44,9 +43,20 @@ def _pages(spark, sf):
 
 register("scan_lines", _scan_sql(PAGE_RULES))(lambda spark, sf: X.scan_lines(_pages(spark, sf), "page_id", "html", None, PAGE_RULES))
 
+# Pages with a line of code of each exploit rule in turn, a third of them commented out (both engines).
+_CODE = " ".join("WHEN {} THEN 'x = {}'".format(i, p.replace("'", "''")) for i, (p, _, _) in enumerate(X.EXPLOIT_RULES))
+CODE_PAGES_SQL = f"""(SELECT page_id, coalesce(html, '') || chr(10) || CASE WHEN page_id % 3 = 0 THEN '# ' ELSE '  ' END
+  || CASE page_id % {len(X.EXPLOIT_RULES)} {_CODE} END AS html FROM pages)"""
+
+
+def _code_pages(spark, sf):
+    _pages(spark, sf).createOrReplaceTempView("pages")
+    return spark.sql(f"SELECT * FROM {CODE_PAGES_SQL}")
+
+
 register("scan_exploit_patterns", _scan_sql([("any", p, s, d) for p, s, d in X.EXPLOIT_RULES], ("#",), ()).replace(
-    "issue, pattern", "issue AS description, pattern"))(
-    lambda spark, sf: X.scan_exploit_patterns(_pages(spark, sf), "page_id", "html"))
+    "issue, pattern", "issue AS description, pattern").replace("FROM pages", f"FROM {CODE_PAGES_SQL}"))(
+    lambda spark, sf: X.scan_exploit_patterns(_code_pages(spark, sf), "page_id", "html"))
 
 
 def _fix_sql():
@@ -66,61 +76,6 @@ SELECT file_id, count_if(severity = 'CRITICAL') AS critical, count_if(severity =
     lambda spark, sf: X.severity_rollup(X.scan_lines(_pages(spark, sf), "page_id", "html", None, PAGE_RULES)))
 
 
-def _fields_sql(table, id_expr, text_col="text"):
-    cols = []
-    for name, pats in RT.FIELD_PATTERNS.items():
-        outs = []
-        for p in pats:
-            ps = p.replace("'", "''")
-            m = f"regexp_extract({text_col}, '(?i){ps}', 1)"
-            hit = f"regexp_matches({text_col}, '(?i){ps}')"
-            outs.append(f"CASE WHEN {hit} THEN {_s(m)} END" if name in RT.TEXT_FIELDS
-                        else f"CASE WHEN {hit} THEN TRY_CAST(replace({m}, ',', '') AS DOUBLE) END")
-        cols.append(f"coalesce({', '.join(outs)}) AS {name}")
-    return f"SELECT {id_expr} AS doc_id, {', '.join(cols)} FROM {table}"
-
-
-def _diagnose_sql(fields_sql):
-    runs = f"""(SELECT doc_id AS run_id, coalesce(CASE WHEN contains(lower(task_type), 'classif') THEN 'classification'
-    WHEN contains(lower(task_type), 'regress') THEN 'regression' END, 'regression') AS task,
-  coalesce(train_r2, train_acc, train_f1) AS tr, coalesce(test_r2, test_acc, test_f1) AS te, n_duplicates,
-  target_skewness AS sk, cv_std AS cvs, iterations AS it, best_iter AS bi FROM ({fields_sql}))"""
-    rules = [
-        ("gap IS NOT NULL AND gap < -0.05", "issue", "possible_leakage"),
-        ("gap IS NOT NULL AND gap >= -0.05 AND gap > 0.25", "issue", "overfit_severe"),
-        ("gap IS NOT NULL AND gap <= 0.25 AND gap > 0.12", "issue", "overfit_moderate"),
-        ("gap IS NOT NULL AND gap <= 0.12 AND gap > 0.05", "warning", "overfit_mild"),
-        ("gap IS NOT NULL AND gap >= -0.05 AND gap <= 0.05", "strength", "aligned"),
-        ("gap IS NULL", "warning", "gap_unknown"), ("under", "issue", "underfit"),
-        ("ok AND reg AND te >= 0.90", "strength", "excellent"), ("ok AND reg AND te < 0.90 AND te >= 0.80", "strength", "strong"),
-        ("ok AND reg AND te < 0.80 AND te >= 0.70", "warning", "decent"), ("ok AND reg AND te < 0.70 AND te >= 0.50", "issue", "weak"),
-        ("ok AND reg AND te < 0.50", "issue", "very_weak"), ("ok AND NOT reg AND te >= 0.90", "strength", "excellent"),
-        ("ok AND NOT reg AND te < 0.90 AND te >= 0.80", "strength", "strong"),
-        ("ok AND NOT reg AND te < 0.80 AND te >= 0.70", "warning", "moderate"), ("ok AND NOT reg AND te < 0.70", "issue", "low"),
-        ("dup > 0 AND dpct > 5", "issue", "duplicates"), ("dup > 0 AND dpct <= 5", "warning", "duplicates"),
-        ("sk IS NOT NULL AND sk > 0.75", "issue", "right_skewed_target"), ("sk IS NOT NULL AND sk < -0.75", "issue", "left_skewed_target"),
-        ("sk IS NOT NULL AND sk >= -0.75 AND sk <= 0.75", "strength", "mild_skew"),
-        ("cvs IS NOT NULL AND cvs > 0.05", "warning", "cv_unstable"),
-        ("ratio IS NOT NULL AND ratio >= 0.99", "warning", "no_early_stop"),
-        ("ratio IS NOT NULL AND ratio < 0.6", "warning", "capacity_wasted"),
-    ]
-    base = f"""(SELECT *, tr - te AS gap, task = 'regression' AS reg, coalesce(n_duplicates, 0) AS dup, 0.0 AS dpct,
-  CASE WHEN it > 0 AND bi IS NOT NULL THEN bi / it END AS ratio,
-  coalesce(tr IS NOT NULL AND te IS NOT NULL AND ((task = 'regression' AND tr < 0.6 AND te < 0.6)
-    OR (task <> 'regression' AND tr < 0.70 AND te < 0.70)), false) AS under FROM {runs})"""
-    base2 = f"(SELECT *, coalesce(te IS NOT NULL AND te >= 0 AND NOT under, false) AS ok FROM {base})"
-    parts = [f"SELECT run_id, '{k}' AS kind, '{c}' AS code FROM {base2} WHERE coalesce({cond}, false)" for cond, k, c in rules]
-    return " UNION ALL ".join(parts)
-
-
-register("diagnose_fit", _diagnose_sql(_fields_sql("documents", "doc_id")))(
-    lambda spark, sf: X.diagnose_reports(t(spark, sf, "documents"), "doc_id", "text"))
-
-register("diagnose_reports", _diagnose_sql(_fields_sql("conversations", "conv_id * 1000 + turn")))(
-    lambda spark, sf: X.diagnose_reports(t(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")))
-
-
 def _auto(spark, sf):
     li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
                                          "l_tax", "l_returnflag", "l_shipdate")

@@ -22,14 +22,14 @@ def _meta_sql(table: str) -> str:
             f"FROM information_schema.columns WHERE table_name = '{table}')")
 
 
-def _tags_sql(table: str, texts: list[str], order: str) -> str:
+def _tags_sql(table: str, texts: list[str]) -> str:
     parts = []
     for c in texts:
         parts.append(f"""SELECT '{c}' AS "column", avg(CAST(TRY_CAST(v AS TIMESTAMP) IS NOT NULL AS DOUBLE)) AS hit,
   count(DISTINCT CASE WHEN TRY_CAST(trim(v) AS DOUBLE) IS NOT NULL AND NOT isinf(TRY_CAST(trim(v) AS DOUBLE))
                       AND NOT isnan(TRY_CAST(trim(v) AS DOUBLE)) THEN 'number'
                       WHEN TRY_CAST(v AS TIMESTAMP) IS NOT NULL THEN 'date' ELSE 'text' END) AS kinds
-  FROM (SELECT CAST({c} AS VARCHAR) AS v FROM {table} WHERE {c} IS NOT NULL ORDER BY {order} LIMIT 200)""")
+  FROM (SELECT CAST({c} AS VARCHAR) AS v FROM {table} WHERE {c} IS NOT NULL)""")
     txt = " UNION ALL ".join(parts)
     return f"""SELECT m.ordinal, m."column", m.dtype,
   CASE WHEN m.dtype = 'boolean' THEN 'boolean' WHEN m.dtype LIKE 'timestamp%' OR m.dtype = 'date' THEN 'datetime'
@@ -38,12 +38,12 @@ def _tags_sql(table: str, texts: list[str], order: str) -> str:
 FROM {_meta_sql(table)} m LEFT JOIN ({txt}) x ON m."column" = x."column\""""
 
 
-register("column_tags", _tags_sql("events", ["event_type", "props"], "event_id"))(
-    lambda spark, sf: S.column_tags(t(spark, sf, "events"), ["event_id"]))
+register("column_tags", _tags_sql("events", ["event_type", "props"]))(
+    lambda spark, sf: S.column_tags(t(spark, sf, "events")))
 
 
 def _overview_sql():
-    tags = _tags_sql("events", ["event_type", "props"], "event_id")
+    tags = _tags_sql("events", ["event_type", "props"])
     agg = ", ".join(
         f"coalesce(string_agg(CASE WHEN tag = '{k}' THEN \"column\" END, ',' ORDER BY ordinal), '') AS {k}_cols"
         for k in ("numeric", "categorical", "datetime", "datetime_string", "boolean", "mixed"))
@@ -51,7 +51,7 @@ def _overview_sql():
   'props' AS target, 'fallback_last_column' AS target_source FROM ({tags})"""
 
 
-register("overview", _overview_sql())(lambda spark, sf: S.overview(t(spark, sf, "events"), None, ["event_id"]))
+register("overview", _overview_sql())(lambda spark, sf: S.overview(t(spark, sf, "events")))
 
 register("infer_task_type", """SELECT 'quality' AS target, count(DISTINCT quality) AS n_distinct,
   CASE WHEN count(DISTINCT quality) <= 20 THEN 'classification' ELSE 'regression' END AS task_type FROM labels""")(
@@ -150,11 +150,11 @@ def _select_num_sql():
     return f"""SELECT "column", CAST(count(value) AS BIGINT) AS non_null,
   abs(coalesce({r6('var_samp(value)')}, 0.0)) AS variance
 FROM {long_sql('lineitem', LI_NUM)} GROUP BY "column" HAVING count(value) >= 25 AND count(DISTINCT value) >= 3
-ORDER BY non_null DESC, variance DESC, "column" LIMIT 5"""
+"""
 
 
 register("select_numeric_columns", _select_num_sql())(
-    lambda spark, sf: S.select_numeric_columns(t(spark, sf, "lineitem"), LI_NUM, max_cols=5))
+    lambda spark, sf: S.select_numeric_columns(t(spark, sf, "lineitem"), LI_NUM))
 
 
 def _feature_schema_sql():
@@ -174,7 +174,7 @@ def _kpi_names_sql():
     return f"""WITH m AS (SELECT ordinal, "column", {hit} AS hit FROM {_meta_sql('lineitem')}
    WHERE dtype IN ('bigint', 'int', 'double')),
  r AS (SELECT *, row_number() OVER (PARTITION BY hit ORDER BY ordinal) AS rn FROM m)
-SELECT ordinal, "column" FROM r WHERE rn <= 3 AND hit = (SELECT bool_or(hit) FROM m)"""
+SELECT ordinal, "column" FROM r WHERE hit = (SELECT bool_or(hit) FROM m)"""
 
 
 register("kpi_columns", _kpi_names_sql())(lambda spark, sf: S.kpi_column_names(t(spark, sf, "lineitem")))

@@ -131,18 +131,39 @@ def write_results_json(sections: dict[str, DataFrame], path: str) -> None:
             .write.mode("overwrite").json(f"{path}/{name}")
 
 
-def report_table(sections: dict[str, DataFrame]) -> DataFrame:
-    """Text-report rows (section, item, field, value) from the section tables (one unpivot each)."""
+def report_table(sections: dict[str, tuple[DataFrame, Sequence]]) -> DataFrame:
+    """Report rows (section, ordinal, item, field, value) from section tables and their sort keys.
+
+    The first column of a table names the item; ``ordinal`` is its 1-based place by the sort keys (a global prefix
+    scan, no one-task window). Without keys items go by name.
+    """
+    from ..operators.window import global_row_index
     out = None
-    for name, df in sections.items():
-        key = df.columns[0]
-        vals = [c for c in df.columns[1:]]
-        cast = df.select(F.col(key).cast("string").alias("item"), *[F.col(c).cast("string").alias(c) for c in vals])
-        u = cast.unpivot(["item"], vals, "field", "value").select(F.lit(name).alias("section"), "item", "field", "value")
+    for name, (df, keys) in sections.items():
+        key, vals = df.columns[0], df.columns[1:]
+        keyed = df.withColumns({f"_k{i}": k for i, k in enumerate(keys)})
+        order = [*[f"_k{i}" for i in range(len(keys))], key]
+        ranked = global_row_index(keyed, order, out="_i")
+        cast = ranked.select((F.col("_i") + 1).cast("long").alias("ordinal"), F.col(key).cast("string").alias("item"), *[F.col(c).cast("string").alias(c) for c in vals])
+        u = cast.unpivot(["ordinal", "item"], list(vals), "field", "value").select(F.lit(name).alias("section"), "ordinal", "item", "field", "value")
         out = u if out is None else out.unionByName(u)
     return out
 
 
+def ranked_findings(df: DataFrame, top: int = 5) -> DataFrame:
+    """S8, findings: the ``top`` columns by outliers, by missing values, and pairs by |r|, as report rows.
+
+    ``top`` is the length of the report's lists. Ties go by name.
+    """
+    from ..operators.assoc import pearson_pairs
+    from ..operators.profile import missing_by_column, outliers_by_column
+    pairs = pearson_pairs(df, with_p=False).select(F.concat_ws(" / ", "col1", "col2").alias("pair"), "pearson_r", "abs_r", "strength")
+    sections = {"outliers": (outliers_by_column(df).select("column", "iqr_outliers", "iqr_outlier_pct", "severity"), [-F.col("iqr_outlier_pct")]),
+                "missing": (missing_by_column(df).select("column", "count", "pct", "severity"), [-F.col("pct")]),
+                "correlations": (pairs, [-F.col("abs_r")])}
+    return report_table(sections).where(F.col("ordinal") <= top)
+
+
 def write_predictions(pred: DataFrame, path: str, label: str = "label", prediction: str = "prediction") -> None:
     """(actual, predicted) table."""
     pred.select(F.col(label).alias("actual"), F.col(prediction).alias("predicted")).write.mode("overwrite").parquet(path)
@@ -161,14 +182,20 @@ def save_model(model, registry_path: str, models_dir: str, tag: str, name: str,
     return path
 
 
+def alias_overlap(a: Column, b: Column) -> Column:
+    """U4: two arrays of names have one in common, whatever its case; nulls have none."""
+    low = lambda x: F.transform(F.coalesce(x, F.array().cast("array<string>")), F.lower)
+    return F.arrays_overlap(F.filter(low(a), lambda n: n.isNotNull()), F.filter(low(b), lambda n: n.isNotNull()))
+
+
 def load_model(registry_path: str, name: str | None = None, aliases: Sequence[str] = ()):
     """Look the model up by name or alias (overlapping alias sets), else the newest best-scored one."""
     from pyspark.ml import PipelineModel
     spark = SparkSession.getActiveSession()
     reg = spark.read.parquet(registry_path)
     if name or aliases:
-        want = [x.lower() for x in ([name] if name else []) + list(aliases)]
-        hit = reg.where(F.arrays_overlap(F.array(F.lower("model"), F.lower("family")), F.array(*[F.lit(w) for w in want])))
+        want = ([name] if name else []) + list(aliases)
+        hit = reg.where(alias_overlap(F.array("model", "family"), F.array(*[F.lit(w) for w in want])))
         row = hit.orderBy(F.desc_nulls_last("score"), F.desc("path")).first()
         if row:
             return PipelineModel.load(row["path"])
