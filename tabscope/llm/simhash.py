@@ -151,16 +151,17 @@ def links(prints: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (long) of every row's whole text."""
+    """doc_id, h (hash of the text), fp (long) of every row's whole text."""
     small_batches(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "h", "fp"])
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ids.mapInArrow(hashed, long_schema("doc_id", "fp"))
+    text = F.col("text").cast("string")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return ids.mapInArrow(hashed, long_schema("doc_id", "h", "fp"))
 
 
 def simhash_classes(docs: DataFrame, shingle: int = 3, radius: int = 3, block: int = BLOCK) -> DataFrame:
@@ -191,18 +192,29 @@ def simhash_classes(docs: DataFrame, shingle: int = 3, radius: int = 3, block: i
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` without the near-duplicates: of each class the row whose doc_id is the component's.
+    """``docs`` without the near-duplicates: of each class one row stays, that of the smallest doc_id.
 
-    Rows that repeat one doc_id leave one row; rows with a null doc_id stay, as nothing names them.
+    Rows are told apart by doc_id and text: unlike texts of one doc_id that are in different classes all stay; in one
+    class the text of least hash stays, and of rows alike in both, one. Rows without a doc_id go where their class has a
+    row with one; a class without any keeps one row.
     """
-    classes = materialize(simhash_classes(docs, shingle, radius).select("doc_id", "component_id"), "simhash-keep")
-    gone = materialize(classes.where("doc_id <> component_id").select("doc_id").distinct(), "simhash-gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    twice = classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if twice.isEmpty():
+    prints = materialize(fingerprints(docs, shingle), "simhash-prints")
+    alike = materialize(prints.groupBy("doc_id", "h", "fp").agg(F.count("*").alias("rows")), "simhash-rows")
+    roots = components(links(alike.select("fp").distinct(), radius, BLOCK), "simhash-classes")
+    rooted = alike.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    first = rooted.groupBy("root").agg(F.min(order).alias("first"), F.sum("rows").alias("rows")).where("rows > 1").select("root", "first")
+    member = rooted.join(first, "root")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    marked = materialize(member.select("doc_id", "h", same.alias("kept"), "rows").where("NOT kept OR rows > 1"), "simhash-gone")
+    named = marked.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("kept").alias("_kept"))
+    named = F.broadcast(named) if marked.count() <= BROADCAST_IDS else named
+    key = F.xxhash64(F.col("text").cast("string"))
+    cond = F.col("doc_id").cast("long").eqNullSafe(named["_id"]) & (key == named["_h"])
+    kept = docs.join(named.where("NOT _kept"), cond, "left_anti").select(docs.columns)
+    repeated = named.where("_kept")
+    if marked.where("kept").isEmpty():
         return kept
-    twice = materialize(twice, "simhash-twice")
-    return kept.join(twice, "doc_id", "left_anti").union(
-        kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    again = kept.join(repeated, cond, "left_semi").select(docs.columns)
+    one = again.withColumn("_h", key).dropDuplicates(["doc_id", "_h"]).select(docs.columns)
+    return kept.join(repeated, cond, "left_anti").select(docs.columns).union(one)

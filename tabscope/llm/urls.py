@@ -11,8 +11,10 @@ from .common import materialize
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Levels of the tree; a template ends in ** below them.
 DEPTH = 4
-#: Children from which a branch becomes a wildcard, and the share of distinct segments from which a small one does.
-MAX_CHILDREN, VARIABLE = 20, 0.5
+#: Share of distinct segments among a branch's URLs from which they are variable, and the least number of them.
+VARIABLE, LEAST_VARIABLE = 0.5, 3
+#: Shares of blocked URLs are told apart in so many steps before branches are compared.
+STEPS = 256
 #: Labelled URLs that a template needs, strength of the prior, and smoothed purity from which it is rejected.
 MIN_LABELS, PRIOR, PURITY = 5, 4.0, 0.8
 #: Largest |z| at which two branches' shares of blocked URLs count as alike.
@@ -49,34 +51,54 @@ def segment(path: Column, level: int) -> Column:
     return F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s)
 
 
-def _merged(children: Column) -> Column:
-    """(seg, branch) of a branch's children, at most MAX_CHILDREN of (share, seg, labelled, blocked), by share: a child
-    joins the branch before it if both hold labels and their shares of blocked URLs do not differ by the z test."""
-    start = F.struct(F.array().cast("array<struct<seg:string,group:int>>").alias("out"), F.lit(0).alias("group"),
+def _merged(classes: Column) -> Column:
+    """(step, group) of a branch's classes of children, (step, labelled, blocked), in the order of their shares of
+    blocked URLs: a class joins the one before it if the two shares do not differ by the z test. At most STEPS + 1."""
+    start = F.struct(F.array().cast("array<struct<step:int,group:int>>").alias("out"), F.lit(0).alias("group"),
                      F.lit(0).cast("long").alias("labelled"), F.lit(0).cast("long").alias("blocked"))
 
     def step(a, c):
         n, m = a["labelled"].cast("double"), c["labelled"].cast("double")
         pooled = (a["blocked"] + c["blocked"]) / (n + m)
         spread = F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
-        differ = F.abs(a["blocked"] / n - c["blocked"] / m)
-        same = F.when((a["labelled"] == 0) | (c["labelled"] == 0), F.lit(False)).otherwise(differ <= F.lit(ALIKE) * spread)
+        same = F.when(a["labelled"] == 0, F.lit(False)).otherwise(F.abs(a["blocked"] / n - c["blocked"] / m) <= F.lit(ALIKE) * spread)
         group = a["group"] + F.when(same, F.lit(0)).otherwise(F.lit(1))
-        return F.struct(F.concat(a["out"], F.array(F.struct(c["seg"].alias("seg"), group.alias("group")))).alias("out"), group.alias("group"),
+        return F.struct(F.concat(a["out"], F.array(F.struct(c["step"].alias("step"), group.alias("group")))).alias("out"), group.alias("group"),
                         F.when(same, a["labelled"] + c["labelled"]).otherwise(c["labelled"]).alias("labelled"),
                         F.when(same, a["blocked"] + c["blocked"]).otherwise(c["blocked"]).alias("blocked"))
 
-    grouped = F.aggregate(F.sort_array(children), start, step)["out"]
-    return F.transform(grouped, lambda g: F.struct(g["seg"].alias("seg"), F.array_join(F.array_sort(F.transform(
-        F.filter(grouped, lambda o: o["group"] == g["group"]), lambda o: o["seg"])), "|").alias("branch")))
+    return F.aggregate(F.sort_array(classes), start, step)["out"]
+
+
+def _branches(child: DataFrame) -> DataFrame:
+    """host, prefix, seg -> ``branch`` for the children (host, prefix, seg, n, labelled, blocked) that keep a branch.
+
+    Where the segments of a branch are variable, children with fewer than MIN_LABELS labelled URLs are left to the
+    wildcard. Children without labels keep their own branch; of the others those of like shares become one, named by
+    its least and largest segment and how many more it has.
+    """
+    at = ["host", "prefix"]
+    literal = child.where(F.col("seg") != "*")
+    spread = literal.groupBy(*at).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("of"))
+    variable = spread.where((F.col("k") >= LEAST_VARIABLE) & (F.col("k") >= F.lit(VARIABLE) * F.col("of"))).select(*at, F.lit(True).alias("variable"))
+    kept = literal.join(variable, at, "left").where(F.col("variable").isNull() | (F.col("labelled") >= MIN_LABELS))
+    kept = kept.withColumn("step", F.when(F.col("labelled") > 0, F.round(F.col("blocked") / F.col("labelled") * STEPS).cast("int")))
+    classes = kept.where("step IS NOT NULL").groupBy(*at, "step").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    lists = classes.groupBy(*at).agg(F.collect_list(F.struct("step", "labelled", "blocked")).alias("classes"))
+    groups = lists.select(*at, F.explode(_merged(F.col("classes"))).alias("m")).select(*at, "m.step", "m.group")
+    grouped = kept.join(groups, [*at, "step"], "left")
+    names = grouped.where("group IS NOT NULL").groupBy(*at, "group").agg(F.min("seg").alias("a"), F.max("seg").alias("b"), F.count(F.lit(1)).alias("k"))
+    rest = F.when(F.col("k") > 2, F.concat(F.lit("|+"), (F.col("k") - 2).cast("string"))).otherwise(F.lit(""))
+    names = names.select(*at, "group", F.when(F.col("k") == 1, F.col("a")).otherwise(F.concat("a", F.lit("|"), "b", rest)).alias("name"))
+    return grouped.join(names, [*at, "group"], "left").select(*at, "seg", F.coalesce("name", "seg").alias("branch"))
 
 
 def template_tree(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Template and verdict of every path shape: host, s1 .. s``depth``, more, ``template``, ``purity``, ``verdict``.
 
     ``shapes``: host, s1 .. s``depth`` (null below the path's end), ``more`` (the path goes on), n, labelled, blocked.
-    Level by level, a branch with over MAX_CHILDREN children, or one whose children are mostly seen once, becomes a
-    wildcard; the children of others merge where labels show no difference. The template that judges a shape is its
+    Level by level, variable segments become a wildcard and children merge where labels show no difference
+    (``_branches``), alike at any number of children. The template that judges a shape is its
     deepest one below the host with MIN_LABELS labelled URLs, and is rejected at a smoothed share of blocked URLs of
     PURITY: (blocked + PRIOR * share of all) / (labelled + PRIOR). A shape without such a template is allowed.
     """
@@ -87,14 +109,7 @@ def template_tree(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
     for level in range(1, depth + 1):
         seg = f"s{level}"
         child = now.where(F.col(seg).isNotNull()).groupBy("host", "prefix", F.col(seg).alias("seg")).agg(*sums)
-        literal = F.col("seg") != "*"
-        branch = child.groupBy("host", "prefix").agg(F.count(F.when(literal, 1)).alias("k"), F.sum(F.when(literal, F.col("n"))).alias("of"))
-        wild = (F.col("k") > MAX_CHILDREN) | ((F.col("k") >= 3) & (F.col("k") >= F.lit(VARIABLE) * F.col("of")))
-        branch = branch.select("host", "prefix", F.coalesce(wild, F.lit(False)).alias("wild"))
-        kept = child.where(literal).join(branch.where(~F.col("wild")), ["host", "prefix"])
-        share = F.coalesce(F.try_divide("blocked", "labelled"), F.lit(-1.0))
-        merged = kept.groupBy("host", "prefix").agg(F.collect_list(F.struct(share.alias("share"), "seg", "labelled", "blocked")).alias("children"))
-        names = merged.select("host", "prefix", F.explode(_merged(F.col("children"))).alias("m")).select("host", "prefix", F.col("m.seg").alias(seg), F.col("m.branch").alias("branch"))
+        names = _branches(child).withColumnRenamed("seg", seg)
         step = F.when(F.col(seg).isNotNull(), F.concat("prefix", F.lit("/"), F.coalesce("branch", F.lit("*"))))
         now = materialize(now.join(names, ["host", "prefix", seg], "left").withColumn("next", step).drop("branch"), "url-level")
         seen = now.where("next IS NOT NULL").groupBy("host", "next").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).where(F.col("l") >= MIN_LABELS)

@@ -142,3 +142,13 @@ def test_templates(spark):
     assert verdict["h.a", "/u/aa/z"].template == "/u/*/z"
     assert verdict["h.a", ""].verdict == "allow" and verdict["", ""].verdict == "allow"
     assert U.filter_urls(df.limit(0)).count() == 0
+
+
+def test_url_branches_at_any_number_of_children(spark):
+    from tabscope.llm import urls as U
+    for k in (20, 21, 60):
+        pages = [(f"http://example.com/de/x{i}", i) for i in range(40)] + [(f"http://example.com/s{chr(97 + j % 26)}{chr(97 + j // 26)}/p{i}", 1000 + 10 * j + i)
+                                                                          for j in range(k - 1) for i in range(10)]
+        df = spark.createDataFrame([(n, u) for u, n in pages], "page_id long, url string")
+        got = {r.page_id: r.verdict for r in U.filter_urls(df).collect()}
+        assert {v for i, v in got.items() if i < 1000} == {"block"} and {v for i, v in got.items() if i >= 1000} == {"allow"}

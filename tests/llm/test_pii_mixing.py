@@ -149,3 +149,23 @@ def test_curriculum_follows_its_schedule(spark):
     early = got[got.t < 0.25].source.value_counts()
     assert early["a"] == pytest.approx(1000 * (0.8 * 0.0625 + 0.2 * 0.25), abs=5) and early["b"] == pytest.approx(250, abs=5)
     assert early["c"] == pytest.approx(1000 * (-0.8 * 0.0625 + 1.8 * 0.25), abs=5)
+
+
+def test_targets_are_met_within_a_document(spark):
+    words = lambda n: "w " * n
+    null_ids = [(None, words(8), "hot") for _ in range(1000)]
+    own_ids = [(i, words(8), "hot") for i in range(1000)]
+    repeated = [(i % 3, words(8), "hot") for i in range(1000)]
+    for rows in (null_ids, own_ids, repeated):
+        df = spark.createDataFrame(rows + [(10_000 + i, words(8), "more") for i in range(2000)], "doc_id long, text string, source string").repartition(7)
+        table = mixing.mix_table(df).collect()
+        for source_size in {r.source_size for r in table}:
+            mine = [r for r in table if r.source_size == source_size]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= 8
+        mixed = mixing.mixed_documents(df)
+        assert mixed.count() == sum(r.copies for r in table)
+        con = duckdb.connect()
+        con.execute("CREATE TABLE d (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+        con.executemany("INSERT INTO d VALUES (?, ?, ?)", [tuple(r) for r in df.collect()])
+        want = con.execute(f"SELECT doc_id, copies, count(*) FROM ({mixing.ORACLE.format(docs='d')}) GROUP BY ALL").fetchall()
+        assert sorted(want, key=repr) == sorted(((d, c, n) for (d, c), n in __import__('collections').Counter((r.doc_id, r.copies) for r in table).items()), key=repr)

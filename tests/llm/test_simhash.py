@@ -58,7 +58,7 @@ def test_edge_rows(spark):
     got = simhash_classes(df).select("doc_id", "fingerprint", "component_id").collect()
     assert sorted(map(tuple, got), key=repr) == brute_classes(rows)
     kept = sorted([r.doc_id for r in keep_one(df).collect()], key=repr)
-    assert kept == [1, 10, 3, 7, 9, None, None]
+    assert kept == [1, 10, 3, 7, 9, None]  # the copy without an id goes, as its class has a row with one
     assert keep_one(df).columns == df.columns
     assert simhash_classes(df.limit(0)).count() == 0
 
@@ -83,3 +83,13 @@ def test_query_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = Q.op10_simhash(spark, SF).select("doc_id", "fingerprint", "component_id").collect()
     assert sorted(map(tuple, got), key=repr) == brute_classes(rows)
+
+
+def test_keep_one_tells_rows_by_id_and_text(spark):
+    from tabscope.llm.simhash import keep_one
+    a, b, c = "one two three four five six seven " * 9, "other words stand here in this quite unlike text " * 9, "zebra apple lemon melon grape " * 12
+    rows = [(1, a), (1, b), (2, a), (2, a), (3, c), (3, c), (None, a), (None, "nothing else is like this at all, is it"), (None, "nothing else is like this at all, is it"), (4, None), (5, "")]
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, h int")
+    got = sorted(((r.doc_id, r.text) for r in keep_one(df).collect()), key=repr)
+    assert got == sorted([(1, a), (1, b), (3, c), (None, rows[7][1]), (4, None)], key=repr)
+    assert keep_one(df.limit(0)).count() == 0 and keep_one(df).columns == df.columns
