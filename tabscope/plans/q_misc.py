@@ -180,3 +180,28 @@ def _union_hits(spark, sf):
 register("union_hits", f"""WITH h AS ({_HITS}), b AS (SELECT *, row_number() OVER (PARTITION BY request_id, doc_id, chunk_no ORDER BY score DESC, query_id) AS r FROM h),
  o AS (SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY request_id ORDER BY score DESC, doc_id, chunk_no) AS ord FROM b WHERE r = 1)
 SELECT * FROM o WHERE ord <= 12""")(_union_hits)
+
+
+def _report(spark, sf):
+    from .tables import events_nulls, spiked
+    out = P.outliers_by_column(spiked(spark, sf), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).select("column", "iqr_outliers", "severity")
+    missing = P.missing_by_column(events_nulls(spark, sf)).select("column", "count", "severity")
+    return IO.report_table({"outliers": (out, [-F.col("iqr_outliers")]), "missing": (missing, [-F.col("count")])}).where("ordinal <= 5")
+
+
+def _report_sql():
+    from .q_profile import EVENTS_NULLS_SQL, SPIKED_SQL
+    out = " UNION ALL ".join(f"""SELECT '{c}' AS item, count_if(v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS n, count(v) AS of
+  FROM (SELECT {c} AS v FROM {SPIKED_SQL}), (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {SPIKED_SQL}) WHERE q3 > q1"""
+                             for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+    miss = " UNION ALL ".join(f"SELECT '{c}' AS item, count_if({c} IS NULL) AS n, count(*) AS of FROM {EVENTS_NULLS_SQL}" for c in ("user_id", "event_type", "value", "props"))
+    return f"""WITH o AS (SELECT 'outliers' AS section, item, n, CASE WHEN n / of > 0.10 THEN 'high' WHEN n / of > 0.03 THEN 'moderate' ELSE 'low' END AS severity FROM ({out}) WHERE n > 0),
+ m AS (SELECT 'missing' AS section, item, n, CASE WHEN n / of > 0.5 THEN 'critical' WHEN n / of > 0.2 THEN 'high' WHEN n / of > 0.05 THEN 'moderate' ELSE 'low' END AS severity
+   FROM ({miss}) WHERE n > 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, item) AS ordinal FROM (SELECT * FROM o UNION ALL SELECT * FROM m)),
+ f AS (SELECT section, ordinal, item, CASE section WHEN 'outliers' THEN 'iqr_outliers' ELSE 'count' END AS field, CAST(n AS VARCHAR) AS value FROM r
+   UNION ALL SELECT section, ordinal, item, 'severity', severity FROM r)
+SELECT * FROM f WHERE ordinal <= 5"""
+
+
+register("report_table", _report_sql())(_report)

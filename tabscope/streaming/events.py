@@ -77,7 +77,7 @@ def _bursts(times: DataFrame, keys: Sequence[str], window_us: int, partitions: i
     a partition's border comes from a table of one row per partition and key.
     """
     kinds = F.array(F.struct(F.col("_t").alias("at"), F.lit(1).alias("kind")), F.struct((F.col("_t") + window_us).alias("at"), F.lit(0).alias("kind")))
-    both = times.select(*keys, "_t", F.explode(kinds).alias("k")).select(*keys, "_t", F.col("k.at").alias("_at"), F.col("k.kind").alias("_kind"))
+    both = times.select(*keys, "_t", F.explode(kinds).alias("_k")).select(*keys, "_t", F.col("_k.at").alias("_at"), F.col("_k.kind").alias("_kind"))
     staged = sorted_ranges(both, keys, ["_at", "_kind"], partitions)
     event = F.when(F.col("_kind") == 1, F.col("_at"))
     edges = staged.groupBy("_pid", *keys).agg(F.min(event).alias("_first"), F.max(event).alias("_last"))
