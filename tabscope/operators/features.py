@@ -224,6 +224,38 @@ def one_hot_frame(df: DataFrame, col: str, fit_df: DataFrame | None = None, max_
                            one_hot(col, category_levels(fit_df or df, col, max_levels), drop_first).items()})
 
 
+def one_hot_dictionary(fit_df: DataFrame, cols: Sequence[str], drop_first: bool = False) -> DataFrame:
+    """P20 / P21 fit: (column, level, index) of all levels of ``cols`` as text, indexed 0.. in order of column and level.
+
+    Any number of levels: they are sorted over range partitions. ``drop_first`` leaves out each column's least level.
+    Nulls are no level.
+    """
+    from .window import global_row_index
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in cols])
+    levels = fit_df.select(F.explode(cells).alias("c")).select("c.*").where(F.col("level").isNotNull()).distinct()
+    if drop_first:
+        first = levels.groupBy("column").agg(F.min("level").alias("level"))
+        levels = levels.join(F.broadcast(first), ["column", "level"], "left_anti")  # one row per column
+    return global_row_index(levels, ["column", "level"], out="index")
+
+
+def one_hot_sparse(df: DataFrame, dictionary: DataFrame, cols: Sequence[str], out: str = "one_hot") -> DataFrame:
+    """P20 / P21 with any number of levels: ``out`` = struct(size, indices, values), the ones of the row's levels.
+
+    Levels find their index by a hash join with the ``dictionary``; null and unseen levels have no entry. A level of many
+    rows is one side's skew, which the adaptive join splits. ``one_hot_frame`` is the dense form.
+    """
+    size = dictionary.agg(F.count(F.lit(1))).scalar()
+    x, found = df, []
+    for i, c in enumerate(cols):
+        lv = dictionary.where(F.col("column") == c).select(F.col("level").alias(f"_level{i}"), F.col("index").alias(f"_index{i}"))
+        x = x.join(lv, x[c].cast("string") == lv[f"_level{i}"], "left")
+        found.append(F.col(f"_index{i}"))
+    indices = F.array_sort(F.filter(F.array(*found), lambda v: v.isNotNull()))
+    sparse = F.struct(size.alias("size"), indices.alias("indices"), F.transform(indices, lambda _: F.lit(1.0)).alias("values"))
+    return x.select(*[df[c] for c in df.columns], sparse.alias(out))
+
+
 def ordinal_levels(fit_df: DataFrame, col: str) -> DataFrame:
     """(level, code) with code = 0..k-1 in sorted order, computed by a global prefix scan (no one-task window)."""
     from .window import global_row_index

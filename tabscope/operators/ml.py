@@ -15,7 +15,6 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +31,7 @@ UNDERFIT_PENALTY = 0.10
 PERFECT_FIT = 0.9999
 HIGH_REL_ERROR = 0.5
 DROP_IMPORTANCE = 0.005
+LINEAR_FAMILIES = ("linear", "ridge", "lasso", "logistic")
 
 
 def key_hash(keys: Sequence[str], seed: int = 42) -> Column:
@@ -109,10 +109,10 @@ def estimator(family: str, task: str, label: str = "label", weight: str | None =
     kw = {"featuresCol": "features", "labelCol": label}
     if family in ("linear", "ridge", "lasso"):
         if task == "regression":
-            en = {"linear": 0.0, "ridge": 0.0, "lasso": 1.0}[family]
+            en = params.pop("elasticNetParam", {"linear": 0.0, "ridge": 0.0, "lasso": 1.0}[family])
             reg = params.pop("regParam", 0.0 if family == "linear" else 0.1)
-            return LinearRegression(regParam=reg, elasticNetParam=en, weightCol=weight, **kw, **params) if weight else \
-                LinearRegression(regParam=reg, elasticNetParam=en, **kw, **params)
+            lin = LinearRegression(regParam=reg, elasticNetParam=en, **kw, **params)
+            return lin.setWeightCol(weight) if weight else lin
         lr = LogisticRegression(family="multinomial", **kw, **params)
         return lr.setWeightCol(weight) if weight else lr
     if family == "logistic":
@@ -122,12 +122,13 @@ def estimator(family: str, task: str, label: str = "label", weight: str | None =
         est = (RandomForestRegressor if task == "regression" else RandomForestClassifier)(seed=42, **kw, **params)
         return est.setWeightCol(weight) if weight else est
     if family == "boosted_trees":
-        if task == "regression":
-            return GBTRegressor(seed=42, **kw, **params)
-        if n_classes > 2:
-            return OneVsRest(classifier=GBTClassifier(seed=42, featuresCol="features", labelCol=label, **params),
-                             featuresCol="features", labelCol=label)
-        return GBTClassifier(seed=42, **kw, **params)
+        est = (GBTRegressor if task == "regression" else GBTClassifier)(seed=42, **kw, **params)
+        if weight:
+            est = est.setWeightCol(weight)
+        if task == "regression" or n_classes <= 2:
+            return est
+        many = OneVsRest(classifier=est, featuresCol="features", labelCol=label)
+        return many.setWeightCol(weight) if weight else many
     raise ValueError(family)
 
 
@@ -175,10 +176,10 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
         from .window import rank_table
         pos = (F.col(label).cast("string") == F.lit(str(positive)))
         s = pred.select(F.col(score).cast("double").alias("s"), pos.alias("pos"))
-        rt = rank_table(s, "s")
-        r = s.join(rt.select(F.col("value").alias("s"), "avg_rank"), "s")
-        st = r.agg(F.sum(F.when(F.col("pos"), F.col("avg_rank"))).alias("rp"), F.count_if(F.col("pos")).alias("n1"),
-                   F.count_if(~F.col("pos")).alias("n0"))
+        # ranks meet the classes' counts per distinct score, not the rows
+        at = s.where(F.col("s").isNotNull()).groupBy("s").agg(F.count_if(F.col("pos")).alias("n1"), F.count_if(~F.col("pos")).alias("n0"))
+        r = at.join(rank_table(s, "s").select(F.col("value").alias("s"), "avg_rank"), "s")
+        st = r.agg(F.sum(F.col("n1") * F.col("avg_rank")).alias("rp"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
         auc = (F.col("rp") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0"))
         out = out.withColumn("auc", R(st.select(auc.alias("a")).scalar()))
     return out
@@ -228,6 +229,15 @@ def prepare_frame(df: DataFrame, target: str, task: str, numeric: Sequence[str],
     return idx.transform(df), low, high, idx
 
 
+def mean_sd(scores: Sequence[float | None]) -> tuple[float | None, float | None]:
+    """Mean and population sd of the scores that are there."""
+    v = [x for x in scores if x is not None]
+    if not v:
+        return None, None
+    mean = sum(v) / len(v)
+    return mean, math.sqrt(sum((x - mean) ** 2 for x in v) / len(v))
+
+
 def cross_validate(df: DataFrame, stages: list, est, task: str, fold_col: str = "fold", k: int = N_FOLDS) -> dict:
     """Mean and population sd of the validation scores over the folds, and the train mean."""
     val, tr = [], []
@@ -237,24 +247,20 @@ def cross_validate(df: DataFrame, stages: list, est, task: str, fold_col: str =
         model = Pipeline(stages=stages + [est]).fit(train)
         val.append(_primary(_metric_row(model.transform(test), task), task))
         tr.append(_primary(_metric_row(model.transform(train), task), task))
-    v = [x for x in val if x is not None]
-    mean = sum(v) / len(v) if v else None
-    sd = math.sqrt(sum((x - mean) ** 2 for x in v) / len(v)) if v else None
-    t = [x for x in tr if x is not None]
-    return {"cv_mean": mean, "cv_std": sd, "cv_train_mean": sum(t) / len(t) if t else None}
-
-
-def tune(train: DataFrame, stages: list, est, grid: dict, task: str, parallelism: int = 4, seed: int = 42):
-    """Grid (drawn as given) searched on an inner 80/20 split, maximising R^2 or weighted F1."""
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-    pg = ParamGridBuilder()
-    for name, values in grid.items():
-        pg = pg.addGrid(est.getParam(name), list(values))
-    ev = RegressionEvaluator(metricName="r2") if task == "regression" else \
-        MulticlassClassificationEvaluator(metricName="f1")
-    tvs = TrainValidationSplit(estimator=Pipeline(stages=stages + [est]), estimatorParamMaps=pg.build(), evaluator=ev,
-                               trainRatio=0.8, parallelism=parallelism, seed=seed)
-    return tvs.fit(train)
+    mean, sd = mean_sd(val)
+    return {"cv_mean": mean, "cv_std": sd, "cv_train_mean": mean_sd(tr)[0]}
+
+
+def results_frame(spark, rows: list, task: str, test: DataFrame) -> DataFrame:
+    """The results table of fitted models (one tuple each): the scores, their gap, composite score and sanity."""
+    res = spark.createDataFrame(rows, "model string, family string, status string, params string, train_score double, "
+                                      "test_score double, cv_mean double, cv_std double, cv_train_mean double, "
+                                      "test_rmse double, elapsed_sec double, error string")
+    cs = composite_score(F.col("cv_mean"), F.col("cv_std"), F.col("train_score"), F.col("test_score"), task)
+    mean_abs = test.agg(F.avg(F.abs(F.col("label")))).scalar() if task == "regression" else None
+    return res.withColumns({"gap": R(cs["gap"]), "underfit": cs["underfit"], "score": R(cs["score"]),
+                           "sanity": sanity_check(F.col("train_score"), F.col("test_rmse") if task == "regression" else None,
+                                                  mean_abs)})
 
 
 def run_models(df: DataFrame, target: str, task: str, keys: Sequence[str], numeric: Sequence[str],
@@ -273,7 +279,7 @@ def run_models(df: DataFrame, target: str, task: str, keys: Sequence[str], numer
     for name, family, params in registry:
         t0 = time.time()
         try:
-            stages = build_preprocessor(numeric, low, high, scale=family in ("linear", "ridge", "lasso", "logistic"))
+            stages = build_preprocessor(numeric, low, high, scale=family in LINEAR_FAMILIES)
             est = estimator(family, task, n_classes=n_classes, **dict(params))
             model = Pipeline(stages=stages + [est]).fit(train)
             trm, tem = _metric_row(model.transform(train), task), _metric_row(model.transform(test), task)
@@ -284,15 +290,7 @@ def run_models(df: DataFrame, target: str, task: str, keys: Sequence[str], numer
         except Exception as e:  # noqa: BLE001 - a failed model is a result row
             rows.append((name, family, "error", str(params), None, None, None, None, None, None,
                          round(time.time() - t0, 3), str(e)))
-    res = spark.createDataFrame(rows, "model string, family string, status string, params string, train_score double, "
-                                      "test_score double, cv_mean double, cv_std double, cv_train_mean double, "
-                                      "test_rmse double, elapsed_sec double, error string")
-    cs = composite_score(F.col("cv_mean"), F.col("cv_std"), F.col("train_score"), F.col("test_score"), task)
-    mean_abs = test.agg(F.avg(F.abs(F.col("label")))).scalar() if task == "regression" else None
-    res = res.withColumns({"gap": R(cs["gap"]), "underfit": cs["underfit"], "score": R(cs["score"]),
-                           "sanity": sanity_check(F.col("train_score"), F.col("test_rmse") if task == "regression" else None,
-                                                  mean_abs)})
-    return res, models
+    return results_frame(spark, rows, task, test), models
 
 
 def leaderboard(results: DataFrame, k: int = 10) -> DataFrame:
@@ -300,34 +298,6 @@ def leaderboard(results: DataFrame, k: int = 10) -> DataFrame:
     return results.where(F.col("status") == "ok").orderBy(F.desc("score"), "model").limit(k)
 
 
-def stack_models(df: DataFrame, target: str, task: str, keys: Sequence[str], numeric: Sequence[str],
-                 families: Sequence[str] = ("linear", "random_forest", "boosted_trees"), folds: int = N_FOLDS) -> DataFrame:
-    """Out-of-fold predictions of the base families (fold column), joined by key, and a linear /
-    logistic meta-model over them; returns hold-out metrics of the stack."""
-    lab, low, high, _ = prepare_frame(df, target, task, numeric, ())
-    lab = kfold_assign(train_test_split(lab, keys), keys, folds)
-    train, test = lab.where(~F.col("is_test")), lab.where(F.col("is_test"))
-    oof = train.select(*keys, "label")
-    test_meta = test.select(*keys, "label")
-    for fam in families:
-        stages = build_preprocessor(numeric, low, high, scale=fam == "linear")
-        parts = []
-        for f in range(folds):
-            m = Pipeline(stages=stages + [estimator(fam, task)]).fit(train.where(F.col("fold") != f))
-            parts.append(m.transform(train.where(F.col("fold") == f)).select(*keys, F.col("prediction").alias(f"p_{fam}")))
-        u = parts[0]
-        for p in parts[1:]:
-            u = u.unionByName(p)
-        oof = oof.join(u, list(keys))
-        full = Pipeline(stages=stages + [estimator(fam, task)]).fit(train)
-        test_meta = test_meta.join(full.transform(test).select(*keys, F.col("prediction").alias(f"p_{fam}")), list(keys))
-    va = VectorAssembler(inputCols=[f"p_{f}" for f in families], outputCol="features")
-    meta = (LinearRegression(regParam=0.01) if task == "regression" else LogisticRegression())
-    mm = Pipeline(stages=[va, meta]).fit(oof)
-    pred = mm.transform(test_meta)
-    return regression_metrics(pred) if task == "regression" else classification_metrics(pred)
-
-
 def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequence[str], keys: Sequence[str],
                            task: str, seed: int = 7) -> DataFrame:
     """Score drop when one feature's values are permuted (value of row at hash rank r moved to rank

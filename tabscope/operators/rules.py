@@ -156,7 +156,7 @@ def severity_rollup(findings: DataFrame, file_col: str = "file_id") -> DataFrame
         .withColumn("pentest_passed", (F.col("critical") == 0) & (F.col("high") == 0))
 
 
-# ---------------------------------------------------------------- V2, V3 (V1, V4: reports)
+# ---------------------------------------------------------------- V2 (V1, V4: reports; V3: tuning)
 
 def auto_features(df: DataFrame, target: str, order_by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """V2: profile once, fire the universal / semantic / data-driven rules, and apply them.
@@ -205,23 +205,3 @@ def auto_features(df: DataFrame, target: str, order_by: Sequence[str]) -> tuple[
             f"{a}_div_{b}", FE.ratio_zero_median(out, a, b))
         applied += [f"{a}_x_{b}_interaction", f"{a}_div_{b}_ratio"]
     return out, applied
-
-
-def choose_grid(n_rows: int, task: str, findings: Sequence[str] = (), has_dates: bool = False,
-                imbalanced: bool = False) -> list[dict]:
-    """V3: model families and parameter ranges from the profile and V1 codes (metadata rules only)."""
-    over = any(c in ("overfit_severe", "overfit_moderate") for c in findings)
-    under = "underfit" in findings
-    depth = (2, 5) if over else (4, 10) if under else (3, 8)
-    reg = (0.01, 1.0) if over else (0.0001, 0.1)
-    grid = [{"family": "boosted_trees", "maxDepth": depth, "stepSize": (0.01, 0.2), "maxIter": (50, 300)},
-            {"family": "random_forest", "maxDepth": depth, "numTrees": (100, 400)}]
-    if n_rows < 1000 or over:
-        grid.append({"family": "linear", "regParam": reg, "elasticNetParam": (0.0, 1.0)})
-    if imbalanced and task == "classification":
-        for g in grid:
-            g["weightCol"] = "class_weight"
-    if has_dates:
-        for g in grid:
-            g["folds"] = "time_series"
-    return grid

@@ -154,6 +154,22 @@ def _dummies_sql():
 
 register("dummies_drop_first", _dummies_sql())(_dummies)
 
+
+
+def _one_hot_sparse(spark, sf):
+    o = t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    cols = ["o_custkey", "o_orderpriority"]
+    enc = FE.one_hot_sparse(o, FE.one_hot_dictionary(o, cols, drop_first=True), cols, "x")
+    return enc.select("o_orderkey", F.col("x.size").alias("n_columns"), F.array_join("x.indices", ",").alias("indices"))
+
+
+register("one_hot_sparse", """WITH lv AS (SELECT 'o_custkey' AS c, CAST(o_custkey AS VARCHAR) AS v FROM orders UNION SELECT 'o_orderpriority', o_orderpriority FROM orders),
+ kept AS (SELECT c, v FROM lv WHERE v IS NOT NULL AND (c, v) NOT IN (SELECT (c, min(v)) FROM lv GROUP BY c)),
+ ix AS (SELECT c, v, row_number() OVER (ORDER BY c, v) - 1 AS i FROM kept)
+SELECT o_orderkey, (SELECT count(*) FROM ix) AS n_columns, concat_ws(',', a.i, b.i) AS indices FROM orders
+ LEFT JOIN ix a ON a.c = 'o_custkey' AND a.v = CAST(o_custkey AS VARCHAR) LEFT JOIN ix b ON b.c = 'o_orderpriority' AND b.v = o_orderpriority""")(
+    _one_hot_sparse)
+
 register("ordinal_encode", """WITH lv AS (SELECT p_type AS lvl, row_number() OVER (ORDER BY p_type) - 1 AS code
   FROM (SELECT DISTINCT p_type FROM part WHERE p_type IS NOT NULL))
 SELECT p_partkey, coalesce(code, -1) AS p_type FROM part LEFT JOIN lv ON part.p_type = lv.lvl""")(

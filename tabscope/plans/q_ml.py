@@ -141,18 +141,6 @@ register("build_preprocessor")(lambda spark, sf: Pipeline(stages=M.build_preproc
                                .fit(_cust(spark, sf)).transform(_cust(spark, sf)).select("c_custkey", "features"))
 
 
-def _tune(spark, sf):
-    df = _cust(spark, sf)
-    lab, low, high, _ = M.prepare_frame(df, "c_acctbal", "regression", CUST_NUM, ["c_mktsegment"])
-    est = M.estimator("random_forest", "regression")
-    model = M.tune(lab, M.build_preprocessor(CUST_NUM, low, high), est, {"numTrees": [10, 30], "maxDepth": [3, 5]},
-                   "regression")
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.validationMetrics)], "grid_point int, r2 double")
-
-
-register("tune")(_tune)
-
-
 def _cv(spark, sf):
     df = _cust(spark, sf)
     lab, low, high, _ = M.prepare_frame(df, "c_acctbal", "regression", CUST_NUM, ["c_mktsegment"])
@@ -173,8 +161,6 @@ def _run(spark, sf):
 
 register("run_models")(_run)
 register("leaderboard")(lambda spark, sf: M.leaderboard(_run(spark, sf)).select("model", "score"))
-register("stack_models")(lambda spark, sf: M.stack_models(_cust(spark, sf), "c_acctbal", "regression", ["c_custkey"], CUST_NUM,
-                                                          folds=3))
 
 
 def _perm(spark, sf):

@@ -149,14 +149,17 @@ ALONE = [
 ]
 
 
-def _findings_sql() -> str:
-    runs = """runs AS (SELECT *, task = 'regression' AS reg, lower(model) AS md,
+#: Runs with their scores judged, over the fields.
+RUNS_SQL = """runs AS (SELECT *, task = 'regression' AS reg, lower(model) AS md,
    CASE WHEN task = 'regression' THEN train_r2 WHEN train_f1 <> 0 THEN train_f1 WHEN train_auc <> 0 THEN train_auc ELSE train_acc END AS tr,
    CASE WHEN task = 'regression' THEN test_r2 WHEN test_f1 <> 0 THEN test_f1 WHEN test_auc <> 0 THEN test_auc ELSE test_acc END AS te FROM fields),
  bad AS (SELECT *, coalesce(r2_gap, tr - te) AS gap, coalesce(CASE WHEN reg THEN tr < 0.6 AND te < 0.6 ELSE tr < 0.7 AND te < 0.7 END, false) AS under FROM runs),
  judged AS (SELECT *, coalesce(te >= 0, false) AND NOT under AS ok FROM bad)"""
+
+
+def _findings_sql() -> str:
     parts = [f"SELECT doc_id AS run_id, '{k}' AS kind, '{c}' AS code FROM judged WHERE coalesce({cond}, false)" for k, c, cond in ALONE]
-    return f"WITH {FIELDS_SQL}, {runs} " + " UNION ALL ".join(parts)
+    return f"WITH {FIELDS_SQL}, {RUNS_SQL} " + " UNION ALL ".join(parts)
 
 
 register("diagnose_reports", _findings_sql())(lambda spark, sf: RP.diagnose_reports(_reports(spark, sf)).select("run_id", "kind", "code"))
