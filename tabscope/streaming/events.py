@@ -343,3 +343,60 @@ def stream_dedup_within(stream: DataFrame, keys: Sequence[str], ts: str = "ts",
 
     return x.groupBy(*keys).applyInPandasWithState(fn, out_schema, "last long", "append",
                                                    GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_route_channel(stream: DataFrame, routes: dict[str, Sequence[str]], key: str = "event_type", ts: str = "ts") -> DataFrame:
+    """E1 stream: every event meets the route table of its batch; no state."""
+    return route_channel(event_time(stream, ts), routes, key)
+
+
+def stream_completion_barrier(stream: DataFrame, key: str, party: str, expected: Sequence[str], ts: str = "ts",
+                              watermark: str = "1 minute") -> DataFrame:
+    """E10 stream: (key, n_reported, completed_at) once per key, when the watermark has passed its completion.
+
+    State per key: the first report of each expected party, so at most one entry a party. An earlier report that comes
+    later moves the completion, and its timer, back; once emitted, a key keeps one flag and is not emitted again, also
+    after a restart from the checkpoint. Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    parties = sorted(set(expected))
+
+    class Barrier(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.first = handle.getMapState("first", "party string", "us long")
+            self.done = handle.getValueState("done", "done boolean")
+
+        def handleInputRows(self, key, rows, timerValues):
+            if self.done.exists():
+                return
+            for batch in rows:
+                for name, us in batch.groupby("of_party")["at_us"].min().items():
+                    known = self.first.getValue((name,))
+                    if known is None or us < known[0]:
+                        self.first.updateValue((name,), (int(us),))
+            times = [v[0] for _, v in self.first.iterator()]
+            if len(times) == len(parties):
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(max(times) // 1000 + 1)
+            return
+            yield
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            times = [v[0] for _, v in self.first.iterator()]
+            self.first.clear()
+            self.done.update((True,))
+            yield pd.DataFrame({"of_key": [key[0]], "n_reported": [len(times)], "at_us": [max(times)]})
+
+        def close(self):
+            pass
+
+    x = event_time(stream, ts).where(F.col(party).isin(*parties) & F.col(ts).isNotNull()).withWatermark(ts, watermark)
+    x = x.select(F.col(key).alias("of_key"), F.col(party).cast("string").alias("of_party"), _us(ts).alias("at_us"), ts)
+    schema = T.StructType([T.StructField("of_key", x.schema["of_key"].dataType), T.StructField("n_reported", T.LongType()),
+                           T.StructField("at_us", T.LongType())])
+    out = x.groupBy("of_key").transformWithStateInPandas(Barrier(), schema, "Append", "eventTime")
+    return out.select(F.col("of_key").alias(key), "n_reported", F.timestamp_micros("at_us").alias("completed_at"))
