@@ -43,14 +43,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a local one only when unset."""
+    """The shared checkpoint folder the cluster names; a folder of this machine only in a one-JVM session (tests)."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
-        # Only reached in tests / local runs: a cluster sets spark.checkpoint.dir.
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="tabscope-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
