@@ -16,7 +16,7 @@ from .catalog import register
 from .sqlgen import long_sql, r6
 from .tables import t
 
-CUST_COLS = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+CUST_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 register("head_sample", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 200")(
     lambda spark, sf: IO.head_sample(t(spark, sf, "orders"), ["o_orderkey"]))
