@@ -44,7 +44,7 @@ RECOMMENDED = [
     ("stacking", "'ensemble'", "healthy"),
     ("large_data", "'boosted_trees'", "n_samples > 100000"),
 ]
-# Ranges: (model, parameter, kind, low, high, condition); shallower and more regular where a run overfits.
+# Ranges, the ends mostly fixed values, in the names of pyspark.ml: (model, parameter, kind, low, high, condition); shallower and more regular where a run overfits.
 RANGES = [
     ("lightgbm", "maxIter", "int", "100", "800", "true"),
     ("lightgbm", "stepSize", "log", "0.01", "0.15", "true"),
