@@ -1,4 +1,4 @@
-"""X1-X5 rule scans over text tables; V1-V4 rule-driven operators over tables of runs and data.
+"""X1-X5 rule scans over text tables.
 
 A rule table is small and fixed, so line x rule matching is a broadcast
 nested-loop join with ``contains``: the work grows with the lines, not the rules.
@@ -154,54 +154,3 @@ def severity_rollup(findings: DataFrame, file_col: str = "file_id") -> DataFrame
     g = findings.groupBy(file_col).agg(*[F.count_if(F.col("severity") == s).alias(s.lower()) for s in sev])
     return g.withColumn("sast_passed", F.col("high") == 0) \
         .withColumn("pentest_passed", (F.col("critical") == 0) & (F.col("high") == 0))
-
-
-# ---------------------------------------------------------------- V2 (V1, V4: reports; V3: tuning)
-
-def auto_features(df: DataFrame, target: str, order_by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """V2: profile once, fire the universal / semantic / data-driven rules, and apply them.
-
-    Rules (in priority order): target log1p / reflected log (P8/P9), median / 'Unknown' imputation
-    (P17/P19), 1st-99th winsorising when IQR outliers exist (P16), cyclical dates (P25),
-    leave-one-out encoding of > 20-level text (P24), flag score (P27), product and zero-median ratio
-    of the two highest-variance numerics (P1/P5). Statistics are fitted on ``df``.
-    """
-    from . import features as FE
-    from .common import date_columns, numeric_columns, text_columns
-    from .profile import distinct_counts, outliers_by_column
-    from .schema import FLAG_PATTERN, select_numeric_columns
-    applied = []
-    out, how = FE.target_transform(df, target)
-    if how != "none":
-        applied.append(f"target_{how}")
-    nums = numeric_columns(out, [target] + list(order_by))
-    texts = text_columns(out, [target], with_bool=False)
-    miss = [r["column"] for r in out.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in nums + texts] or [F.lit(0)])
-            .unpivot([], nums + texts, "column", "n").where("n > 0").collect()] if nums + texts else []
-    if miss:
-        fill = FE.impute_median(out, [c for c in miss if c in nums])
-        out = out.withColumns(fill).fillna("Unknown", subset=[c for c in miss if c in texts])
-        applied.append("impute_missing_values")
-    flagged = [r["column"] for r in outliers_by_column(out, nums).collect()] if nums else []
-    if flagged:
-        out = out.withColumns({c: FE.winsorize(out, c) for c in flagged})
-        applied.append("winsorize_outliers")
-    for d in date_columns(out):
-        out = out.withColumns(FE.cyclical_date(d))
-        applied.append(f"{d}_cyclical")
-    card = {r["column"]: r["n_unique"] for r in distinct_counts(out, texts).collect()} if texts else {}
-    for c in [c for c in texts if card.get(c, 0) > 20]:
-        out = FE.target_encode_loo(out, c, target)
-        applied.append(f"{c}_target_encoded")
-    flags = [c for c in out.columns if c != target and re.search(FLAG_PATTERN, c, re.I)]
-    sc = FE.flag_score(out, flags)
-    if sc is not None:
-        out = out.withColumn("flag_score", sc)
-        applied.append("aggregate_flag_score")
-    top = [r["column"] for r in select_numeric_columns(out, nums, 2).collect()]
-    if len(top) == 2:
-        a, b = top
-        out = out.withColumn(f"{a}_x_{b}", FE.feature_product(a, b)).withColumn(
-            f"{a}_div_{b}", FE.ratio_zero_median(out, a, b))
-        applied += [f"{a}_x_{b}_interaction", f"{a}_div_{b}_ratio"]
-    return out, applied

@@ -8,7 +8,7 @@ from collections.abc import Callable
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
 _MODULES = ["q_profile", "q_schema", "q_features", "q_window", "q_assoc", "q_misc", "q_retrieval",
-            "q_rules", "q_reports", "q_events", "q_ml", "q_tuning"]
+            "q_rules", "q_reports", "q_events", "q_ml", "q_tuning", "q_auto"]
 
 
 def register(name: str, sql: str | None = None):

@@ -74,13 +74,3 @@ SELECT file_id, count_if(severity = 'CRITICAL') AS critical, count_if(severity =
   count_if(severity = 'MEDIUM') AS medium, count_if(severity = 'LOW') AS low, count_if(severity = 'HIGH') = 0 AS sast_passed,
   count_if(severity = 'CRITICAL') = 0 AND count_if(severity = 'HIGH') = 0 AS pentest_passed FROM f GROUP BY file_id""")(
     lambda spark, sf: X.severity_rollup(X.scan_lines(_pages(spark, sf), "page_id", "html", None, PAGE_RULES)))
-
-
-def _auto(spark, sf):
-    li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
-                                         "l_tax", "l_returnflag", "l_shipdate")
-    out, _ = X.auto_features(li, "l_extendedprice", ["l_orderkey", "l_linenumber"])
-    return out
-
-
-register("auto_features")(_auto)
