@@ -14,7 +14,7 @@ from .common import long_schema, materialize, small_batches, sorted_runs, words_
 from .graph import components, local_roots
 
 SEED = 42
-#: Fingerprints of one shard that one task holds as a tree; larger shards are dealt into blocks of about this size.
+#: Fingerprints of one tree. Shards are cut so that they hold up to about as many; larger ones are dealt into blocks of this size.
 BLOCK = 4096
 #: Rejected doc_ids up to which they are sent to the documents (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -44,11 +44,12 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 class BKTree:
     """Distinct 64-bit values; the children of a node are keyed by their Hamming distance to the node's value.
 
-    A subtree of at most ``leaf`` values stays a plain list that is compared directly.
+    A subtree of at most ``leaf`` values stays a plain list that is compared directly. ``followed`` counts the edges that
+    queries have taken.
     """
 
-    def __init__(self, values: np.ndarray, leaf: int = 48):
-        self.values = values
+    def __init__(self, values: np.ndarray, leaf: int = 8):
+        self.values, self.followed = values, 0
         self.root: tuple = (np.arange(len(values)), None)
         todo = [self.root] if len(values) <= leaf else []
         if len(values) > leaf:
@@ -67,7 +68,7 @@ class BKTree:
                         children[d] = (int(part[0]), {})
                         todo.append((children[d], part[1:]))
 
-    def within(self, queries: np.ndarray, radius: int, chunk: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def within(self, queries: np.ndarray, radius: int, chunk: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Index arrays (query, value) of all pairs within ``radius``, for some queries at a time."""
         for begin in range(0, len(queries), chunk):
             found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -84,6 +85,7 @@ class BKTree:
                 for d, child in children.items():  # only edges that the triangle inequality leaves open
                     going = asked[np.abs(far - d) <= radius]
                     if len(going):
+                        self.followed += len(going)
                         todo.append((child, going))
             yield np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
@@ -106,21 +108,28 @@ def _stars(values: np.ndarray, block: np.ndarray, left: int, right: int, radius:
     return values[moved], values[label[moved]]
 
 
+def shard_bits(n: int, radius: int = 3, block: int = BLOCK) -> int:
+    """Leading bits of a band that name a shard: with them, ``n`` spread values make shards of at most ``block``."""
+    narrowest = 64 // (radius + 1)
+    return min(max(-(-n // block) - 1, 0).bit_length(), narrowest)
+
+
 def links(prints: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
     """Star edges (a, b) that connect the distinct fingerprints ``fp`` (long) just as all pairs within ``radius`` do.
 
     Fingerprints are cut into ``radius + 1`` bands of bits; two of them that differ in at most ``radius`` bits
-    agree on a band, so every link lies inside a shard (band, bits). Each shard is a BK-tree that all its
-    members query. A shard of more than ``block`` values is dealt into blocks by hash, and each pair of blocks
-    goes to a task of its own, one as the tree and the other as the queries: trees travel to their queries by
+    agree on a band, so also on its leading bits, and every link lies inside a shard (band, leading bits). The number of
+    leading bits follows from the number of fingerprints, so that a shard is a BK-tree of some thousand values at every
+    size; all its members query it. A shard of more than ``block`` values is dealt into blocks by hash, and each pair of
+    blocks goes to a task of its own, one as the tree and the other as the queries: trees travel to their queries by
     the shuffle, since a broadcast of a shard has no bound.
     """
-    bands = radius + 1
-    width = [64 * (i + 1) // bands - 64 * i // bands for i in range(bands)]
-    low = [64 * i // bands for i in range(bands)]
+    bits = shard_bits(prints.count(), radius, block)
+    bands = radius + 1 if bits else 1  # without bits, one shard holds all values
+    ends = [64 * (i + 1) // (radius + 1) for i in range(bands)]
     fp = F.col("fp")
-    keys = F.array(*(F.concat_ws(":", F.lit(i), F.shiftrightunsigned(fp, low[i]).bitwiseAND(
-        F.lit((1 << width[i]) - 1 if width[i] < 64 else -1))) for i in range(bands)))
+    keys = F.array(*(F.concat_ws(":", F.lit(i), F.shiftrightunsigned(fp, end - bits).bitwiseAND(F.lit((1 << bits) - 1)))
+                     if bits else F.lit("0") for i, end in enumerate(ends)))
     sharded = prints.select("fp", F.explode(keys).alias("shard_name")).select(
         "fp", F.xxhash64("shard_name").alias("shard"))
     sizes = sharded.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from tabscope.llm.graph import components
-from tabscope.llm.simhash import BKTree, fingerprint, keep_one, links, simhash_classes
+from tabscope.llm.simhash import BKTree, fingerprint, keep_one, links, shard_bits, simhash_classes
 from tabscope.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -51,6 +51,38 @@ def test_bk_tree_finds_all_pairs():
     assert got == set(zip(q.tolist(), v.tolist()))
 
 
+def test_trees_follow_few_edges():
+    rng = np.random.default_rng(5)
+    values = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64))
+    tree = BKTree(values)
+    nodes, todo = 0, [tree.root]
+    while todo:
+        _, children = todo.pop()
+        nodes += len(children or ())
+        todo += (children or {}).values()
+    hits = sum(len(q) for q, _ in tree.within(values, 3))
+    assert hits == len(values) and nodes > 500  # each value finds itself
+    assert 0 < tree.followed < 0.6 * nodes * len(values)
+
+
+def test_shards_hold_thousands_at_every_size():
+    assert [shard_bits(n) for n in (0, 1, 4096, 4097, 8192, 8193, 10**6, 10**12)] == [0, 0, 0, 1, 1, 2, 8, 16]
+    assert shard_bits(10**12, radius=4) == 12
+
+
+def test_links_through_bits_and_blocks(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    near = [base ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+            ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) for _ in range(3)]
+    values = np.unique(np.concatenate([base, *near]))
+    df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    whole = {r.node: r.root for r in components(links(df, 3, block=100_000)).collect()}
+    assert len(whole) >= 880  # one shard: three copies of each of 300 values
+    for block in (700, 60):  # one bit, and four bits with shards of more than a block
+        assert {r.node: r.root for r in components(links(df, 3, block=block)).collect()} == whole
+
+
 def test_edge_rows(spark):
     rows = [(1, None), (2, ""), (3, "same words here now"), (4, "Same WORDS here now"), (4, "Same WORDS here now"), (None, "same words here now"),
             (None, "lonely text without id"), (7, "x " * 5000), (8, "x " * 5001), (9, "one"), (10, "one two")]
