@@ -1,13 +1,12 @@
 """Row-ordered window features, and a global prefix scan.
 
-With a ``partition_by`` key, frames are ordinary Spark windows (one shuffle on
-the key). Without one, ``Window.orderBy`` alone would pull every row into one
-task; instead the rows are range-partitioned on the order key, checkpointed
-(so partition ids are fixed and the lineage is cut), and each partition gets
-its offset from a per-partition total table (one row per partition). Rolling
-frames additionally receive the previous ``n - 1`` rows of earlier partitions
-as halo rows. ``skew_safe=True`` applies the same path to keyed windows, so a
-key holding a third of all rows is still spread over many tasks.
+A plain window holds all rows of a key, or without a key all rows, in one task.
+Here the rows are range-partitioned on (key, order), checkpointed (so partition
+ids are fixed and the lineage is cut), and each partition gets its offset per
+key from a table of totals (one row per partition and key). Rolling frames
+additionally receive the previous ``n - 1`` rows of earlier partitions as halo
+rows. So a key holding a third of all rows is spread over many tasks;
+``skew_safe=False`` asks for plain windows where every key is known to be small.
 """
 
 from __future__ import annotations
@@ -135,7 +134,7 @@ def rolling(df: DataFrame, specs: dict[str, tuple[str, str | Column, int]], orde
     """
     specs = {k: (kind, F.col(x).cast("double") if isinstance(x, str) else x, n if kind != "diff" else 2)
              for k, (kind, x, n) in specs.items()}
-    staged = (not partition_by) if skew_safe is None else skew_safe
+    staged = skew_safe is None or skew_safe
     if staged:
         return _rolling_staged(df, specs, order_by, partition_by, partitions)
     w = Window.partitionBy(*partition_by).orderBy(*order_by)
@@ -166,7 +165,7 @@ def cumulative_sum(df: DataFrame, x: str | Column, order_by: Sequence[str], part
                    out: str = "cumsum", skew_safe: bool | None = None, partitions: int | None = None) -> DataFrame:
     """Running total (of a column or an expression)."""
     v = F.col(x).cast("double") if isinstance(x, str) else x
-    staged = (not partition_by) if skew_safe is None else skew_safe
+    staged = skew_safe is None or skew_safe
     if staged:
         return prefix_scan(df, order_by, v, out, partition_by, partitions)
     w = Window.partitionBy(*partition_by).orderBy(*order_by).rowsBetween(_UNB, 0)
@@ -176,7 +175,7 @@ def cumulative_sum(df: DataFrame, x: str | Column, order_by: Sequence[str], part
 def row_index(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), out: str = "row_index",
               skew_safe: bool | None = None, partitions: int | None = None) -> DataFrame:
     """0-based position."""
-    staged = (not partition_by) if skew_safe is None else skew_safe
+    staged = skew_safe is None or skew_safe
     if staged:
         return global_row_index(df, order_by, out, partition_by, partitions)
     return df.withColumn(out, (F.row_number().over(Window.partitionBy(*partition_by).orderBy(*order_by)) - 1).cast("long"))
@@ -185,18 +184,14 @@ def row_index(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """Ties share the mean rank (1-based), nulls unranked.
 
-    Works on the distinct (group, value) table: a running count over distinct values,
-    then rank = cum - n + (n + 1) / 2, joined back on (group, value). Without a group
-    the running count is a global prefix scan.
+    Works on the distinct (group, value) table: a running count over distinct values
+    (a prefix scan, so a group with many values is many tasks), then
+    rank = cum - n + (n + 1) / 2, joined back on (group, value).
     """
     by = list(by)
     v = F.col(value)
     counts = df.where(v.isNotNull()).groupBy(*by, v.alias("_val")).agg(F.count(F.lit(1)).alias("_n"))
-    if by:
-        w = Window.partitionBy(*by).orderBy("_val").rowsBetween(_UNB, 0)
-        ranks = counts.withColumn("_cum", F.sum("_n").over(w))
-    else:
-        ranks = prefix_scan(counts, ["_val"], F.col("_n"), "_cum")
+    ranks = prefix_scan(counts, ["_val"], F.col("_n"), "_cum", by)
     ranks = ranks.select(*by, "_val", (F.col("_cum") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(out), "_n")
     j = df.join(ranks.withColumnsRenamed({b: f"_by_{b}" for b in by}),
                 [df[b].eqNullSafe(F.col(f"_by_{b}")) for b in by] + [df[value] == F.col("_val")], "left")
@@ -208,11 +203,7 @@ def rank_table(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     by = list(by)
     v = F.col(value)
     counts = df.where(v.isNotNull()).groupBy(*by, v.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    if by:
-        w = Window.partitionBy(*by).orderBy("value").rowsBetween(_UNB, 0)
-        ranks = counts.withColumn("_cum", F.sum("n").over(w))
-    else:
-        ranks = prefix_scan(counts, ["value"], F.col("n"), "_cum")
+    ranks = prefix_scan(counts, ["value"], F.col("n"), "_cum", by)
     return ranks.select(*by, "value", "n", (F.col("_cum") - F.col("n") + (F.col("n") + 1) / 2.0).alias("avg_rank"))
 
 

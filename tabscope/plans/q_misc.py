@@ -13,6 +13,7 @@ from ..operators.quantiles import quantile_table
 from ..operators.window import join_on
 from ..sources import io as IO
 from .catalog import register
+from .q_profile import _outliers_sql
 from .sqlgen import long_sql, r6
 from .tables import t
 
@@ -113,7 +114,8 @@ SELECT "column", round(n / r * 100, 2) AS pct FROM m WHERE n > 0 ORDER BY pct DE
                "ELSE event_type END AS event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value, "
                "CASE WHEN event_id % 7 = 0 AND event_id % 2 = 0 THEN NULL ELSE props END AS props FROM events)"))(_top_missing)
 
-register("top_outlier_columns", None)(
+register("top_outlier_columns", f"""SELECT "column", iqr_outlier_pct FROM ({_outliers_sql("events", ["value", "user_id", "event_id"])})
+ORDER BY iqr_outlier_pct DESC, "column" LIMIT 5""")(
     lambda spark, sf: P.outliers_by_column(t(spark, sf, "events"), ["value", "user_id", "event_id"])
     .orderBy(F.desc("iqr_outlier_pct"), "column").limit(5).select("column", "iqr_outlier_pct"))
 

@@ -120,8 +120,8 @@ def _fences_cte(src):
 OUT_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey"]
 
 
-def _outliers_sql():
-    src = long_sql(SPIKED_SQL, OUT_COLS)
+def _outliers_sql(table=SPIKED_SQL, cols=OUT_COLS):
+    src = long_sql(table, cols)
     return f"""WITH l AS {src}, {_fences_cte('l')},
  c AS (SELECT l."column", count_if(value < lo OR value > hi) AS iqr_outliers,
    count_if(value < lo3 OR value > hi3) AS extreme_outliers,

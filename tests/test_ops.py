@@ -47,6 +47,19 @@ def test_skew_safe_rolling_equals_plain_window(spark):
     assert g.join(ref, "id").where(F.abs(F.col("m7") - F.col("r")) > 1e-9).count() == 0
 
 
+def test_ranks_and_sums_of_a_hot_key(spark):
+    df = spark.range(600).selectExpr("id", "IF(id % 3 < 2, 'hot', CAST(id % 7 AS STRING)) AS k", "CAST(id * 37 % 101 AS DOUBLE) AS v")
+    plain = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    want = {r["id"]: r["s"] for r in df.withColumn("s", F.sum("v").over(plain)).collect()}
+    got = W.cumulative_sum(df, "v", ["id"], ["k"], partitions=8)
+    assert {r["id"]: r["cumsum"] for r in got.collect()} == want
+    ranks = W.average_rank(df, "v", ["k"])
+    pdf = df.toPandas()
+    pdf["r"] = pdf.groupby("k")["v"].rank()
+    assert {r["id"]: r["rank"] for r in ranks.collect()} == dict(zip(pdf["id"], pdf["r"]))
+    assert "SinglePartition" not in ranks._jdf.queryExecution().toString()
+
+
 def test_average_rank_matches_pandas(spark):
     vals = [3.0, 1.0, 3.0, 2.0, 3.0, None, 1.0]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i long, v double")
