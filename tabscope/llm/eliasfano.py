@@ -39,6 +39,7 @@ class EliasFano:
         step = self.BLOCK // 8
         per = np.add.reduceat(ones, np.arange(0, len(ones), step)) if len(ones) else np.zeros(0, np.int64)
         self.before = np.concatenate([[0], np.cumsum(per)]).astype(np.uint32)
+        self.rows = np.pad(high, (0, -len(high) % step)).reshape(-1, step)
 
     @classmethod
     def of(cls, values: np.ndarray) -> "EliasFano":
@@ -64,11 +65,20 @@ class EliasFano:
         part = np.unpackbits(self.low[first // 8:(first + self.l + 7) // 8], bitorder="little")[first % 8:first % 8 + self.l]
         return ((at - i) << self.l) | sum(int(b) << k for k, b in enumerate(part))
 
-    def all(self) -> np.ndarray:
-        """Every value, decoded at once."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n].astype(np.int64)
-        bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.l).reshape(self.n, self.l).astype(np.int64)
-        return ((ones - np.arange(self.n)) << self.l) | (bits << np.arange(self.l, dtype=np.int64)).sum(axis=1)
+    def selects(self, i: np.ndarray) -> np.ndarray:
+        """The values at the positions ``i``: only the blocks that hold them are unpacked."""
+        i = np.asarray(i, dtype=np.int64)
+        if not len(i):
+            return i
+        before = self.before.astype(np.int64)
+        block = np.searchsorted(before, i, side="right") - 1
+        used, place = np.unique(block, return_inverse=True)
+        ones = np.flatnonzero(np.unpackbits(self.rows[used], axis=1, bitorder="little").ravel())
+        ahead = np.cumsum(before[used + 1] - before[used]) - (before[used + 1] - before[used])
+        at = block * self.BLOCK + ones[ahead[place] + i - before[block]] % self.BLOCK
+        bit = i[:, None] * self.l + np.arange(self.l)
+        low = (self.low[bit >> 3].astype(np.int64) >> (bit & 7) & 1) << np.arange(self.l)
+        return ((at - i) << self.l) | low.sum(axis=1)
 
     def to_bytes(self) -> bytes:
         return struct.pack("<QBQ", self.n, self.l, len(self.high)) + self.low.tobytes() + self.high.tobytes()
@@ -118,13 +128,25 @@ class TokenFile:
         """Ids of the i-th document."""
         return self.ids[self.ends.select(i - 1) if i else 0:self.ends.select(i)]
 
-    def rows(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(doc_id, start, ids) of every document."""
-        known = (self.known.all() + self.base).tolist()
+    def find(self, doc_id: int) -> range:
+        """Positions of a document id, by binary search over selected ids."""
+        def first_not_below(d: int) -> int:
+            low, high = 0, self.known.n
+            while low < high:
+                mid = (low + high) // 2
+                low, high = (mid + 1, high) if self.base + self.known.select(mid) < d else (low, mid)
+            return low + self.nulls
+        return range(first_not_below(doc_id), first_not_below(doc_id + 1))
+
+    def rows(self, block: int = 4096) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(doc_id, start, ids) of every document; ids and ends are selected for ``block`` documents at a time."""
         start = 0
-        for d, end in zip([None] * self.nulls + known, self.ends.all().tolist()):
-            yield d, start, self.ids[start:end]
-            start = end
+        for first in range(0, len(self), block):
+            at = np.arange(first, min(first + block, len(self)))
+            known = (self.known.selects(at[at >= self.nulls] - self.nulls) + self.base).tolist()
+            for d, end in zip([None] * (len(at) - len(known)) + known, self.ends.selects(at).tolist()):
+                yield d, start, self.ids[start:end]
+                start = end
 
 
 def _files(folder: str):

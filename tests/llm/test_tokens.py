@@ -41,7 +41,19 @@ def test_cached_encoding_is_whole_encoding(name, text):
 @settings(max_examples=150, deadline=None)
 def test_elias_fano_round_trip(values):
     ef, _ = EliasFano.from_bytes(EliasFano.of(np.array(values, dtype=np.uint64)).to_bytes())
-    assert ef.all().tolist() == values == [ef.select(i) for i in range(ef.n)]
+    assert ef.selects(np.arange(ef.n)).tolist() == values == [ef.select(i) for i in range(ef.n)]
+
+
+def test_selects_any_positions_and_finds_ids():
+    rng = np.random.default_rng(2)
+    values = np.sort(rng.integers(0, 1 << 40, 30_000))
+    ef = EliasFano.of(values)
+    at = rng.integers(0, len(values), 5000)
+    assert (ef.selects(at) == values[at]).all() and not len(ef.selects(np.zeros(0, dtype=np.int64)))
+    ids = [None, None, -5, 3, 3, 3, 9, 1 << 40]
+    f = TokenFile(pack_file(ids, [np.full(i, i, dtype="<u4").tobytes() for i in range(8)]))
+    assert [list(f.find(d)) for d in (-6, -5, 3, 4, 9, 1 << 40, 1 << 41)] == [[], [2], [3, 4, 5], [], [6], [7], []]
+    assert [(d, s, x.tolist()) for d, s, x in f.rows(block=3)] == [(d, i * (i - 1) // 2, [i] * i) for i, d in enumerate(ids)]
 
 
 def test_elias_fano_is_small_and_selects():
