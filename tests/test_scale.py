@@ -129,3 +129,14 @@ def test_vector_search_and_cells(spark):
     assert got == exact
     near = SR.approx_neighbours(corpus, queries, 5, probes=8).collect()
     assert sum(r["item_id"] in exact[r["query_id"]] for r in near) >= 0.9 * 150 and len(near) == 150
+
+
+def test_dense_scores_shuffle_no_pairs(spark):
+    """Documents are dealt once; term counts and (query, chunk) pairs are not shuffled again, whatever their number."""
+    docs = spark.createDataFrame([(i, f"red fox number {i} ran\nover a hill") for i in range(40)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "red fox"), (2, "a hill")], "query_id int, text string")
+    got = RT.dense_scores(RT.build_index(docs), queries)
+    assert got.count() == 80
+    plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = [line for line in plan if "Exchange hashpartitioning" in line and "doc_id" in line]
+    assert len(dealt) == 1 and "REPARTITION_BY_NUM" in dealt[0], dealt
