@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_round as R
 from ..functions.scalar import stable_bucket
+from .common import spread
 
 # Split, fold and scoring constants.
 TEST_FRAC = 0.2
@@ -32,6 +33,8 @@ PERFECT_FIT = 0.9999
 HIGH_REL_ERROR = 0.5
 DROP_IMPORTANCE = 0.005
 LINEAR_FAMILIES = ("linear", "ridge", "lasso", "logistic")
+#: Rows in a task of a fit, about: a forest holds one weight per tree with each row.
+TASK_ROWS = 25_000
 
 
 def key_hash(keys: Sequence[str], seed: int = 42) -> Column:
@@ -229,6 +232,12 @@ def prepare_frame(df: DataFrame, target: str, task: str, numeric: Sequence[str],
     return idx.transform(df), low, high, idx
 
 
+def dealt_rows(df: DataFrame, target: str, keys: Sequence[str], numeric: Sequence[str], text: Sequence[str]) -> DataFrame:
+    """The columns that a fit reads, dealt by key to tasks of TASK_ROWS and stored once for its many passes."""
+    from ..session import cut_lineage
+    return cut_lineage(spread(df.select(*dict.fromkeys([*keys, *numeric, *text, target])), keys, TASK_ROWS))
+
+
 def mean_sd(scores: Sequence[float | None]) -> tuple[float | None, float | None]:
     """Mean and population sd of the scores that are there."""
     v = [x for x in scores if x is not None]
@@ -271,6 +280,7 @@ def run_models(df: DataFrame, target: str, task: str, keys: Sequence[str], numer
     spark = df.sparkSession
     registry = registry or [("linear", "linear", {}), ("random_forest", "random_forest", {"numTrees": 50}),
                             ("boosted_trees", "boosted_trees", {"maxIter": 20})]
+    df = dealt_rows(df, target, keys, numeric, text)
     lab, low, high, _ = prepare_frame(df, target, task, numeric, text)
     lab = kfold_assign(train_test_split(lab, keys), keys, folds)
     train, test = lab.where(~F.col("is_test")), lab.where(F.col("is_test"))
@@ -353,6 +363,7 @@ def baseline_train(df: DataFrame, target: str, keys: Sequence[str], numeric: Seq
     """log1p of skewed numerics, median / one-hot preprocessing, a 200-tree forest, hold-out metrics."""
     from .features import log1p_skewed
     from .schema import infer_task_type
+    df = dealt_rows(df, target, keys, numeric, text)
     task = infer_task_type(df, target).first()["task_type"]
     x, _ = log1p_skewed(df, list(numeric))
     lab, low, high, _ = prepare_frame(x, target, task, numeric, text)

@@ -252,6 +252,7 @@ def stack_models(df: DataFrame, target: str, task: str, keys: Sequence[str], num
     if results is None:
         results, _ = M.run_models(df, target, task, keys, numeric, text, folds=folds)
     chosen = stack_members(results).orderBy("member").collect()
+    df = M.dealt_rows(df, target, keys, numeric, text)
     lab, low, high, _ = M.prepare_frame(df, target, task, numeric, text)
     lab = M.kfold_assign(M.train_test_split(lab, keys), keys, folds)
     train, test = lab.where(~F.col("is_test")), lab.where(F.col("is_test"))

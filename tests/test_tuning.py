@@ -123,3 +123,10 @@ def test_sparse_one_hot_equals_dense(spark):
     many = spark.range(300_000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("u"))
     enc = FE.one_hot_sparse(many, FE.one_hot_dictionary(many, ["u"]), ["u"])
     assert enc.agg(F.count_distinct(F.col("one_hot.indices")[0])).first()[0] == 200_001 and enc.count() == 300_000
+
+
+def test_rows_of_a_fit_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(M, "TASK_ROWS", 10)
+    df = spark.createDataFrame([(i, float(i % 7), str(i % 3), 2.0 * i) for i in range(80)], "id long, x double, s string, y double").coalesce(1)
+    got = M.dealt_rows(df, "y", ["id"], ["x"], ["s"])
+    assert got.rdd.getNumPartitions() == 8 and sorted(got.select("id").toPandas()["id"]) == list(range(80))
