@@ -17,15 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .common import date_columns, long_form, numeric_columns, text_columns
+from .common import date_columns, numeric_columns, text_columns
 from .features import LABELS_Q4, LABELS_Q5, YES_VALUES, column_skews, cyclical_date
 from .profile import distinct_counts, outliers_by_column
-from .quantiles import quantile_table
+from .quantiles import exact_quantiles
 from .schema import FLAG_PATTERN, HIGH_CARD_THR, KNOWN_BINARY_PATTERN, ROLE_PATTERNS, infer_task_type
 
 # Skewness beyond which a target is transformed, and importance below which a feature is dropped.
 TARGET_SKEW = 0.75
 LOW_IMPORTANCE = 0.005
+# Levels up to which a dictionary of target means is broadcast: a row is a level and two numbers.
+BROADCAST_LEVELS = 200_000
 
 
 @dataclass(frozen=True)
@@ -45,6 +47,7 @@ class FittedFeatures:
     steps: list[Step]
     ops: list[tuple[str, object]] = field(default_factory=list)
     levels: dict[str, DataFrame] = field(default_factory=dict)
+    n_levels: dict[str, int] = field(default_factory=dict)
     overall: float | None = None
 
     @property
@@ -212,10 +215,7 @@ def _flag(df: DataFrame, c: str) -> str:
 
 def _quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
     """Exact quantiles per column; columns without values have none."""
-    if not cols:
-        return {}
-    clean = df.select(*[F.expr(_d(c)).alias(c) for c in cols])
-    return {r["column"]: r["q"] for r in quantile_table(long_form(clean, cols), probs).collect()}
+    return exact_quantiles(df.select(*[F.expr(_d(c)).alias(c) for c in cols]), cols, probs) if cols else {}
 
 
 def _bins(c: str, edges: Sequence[float], labels: Sequence[str]) -> str:
@@ -276,6 +276,7 @@ def fit_features(df: DataFrame, target: str, steps: Sequence[Step], keys: Iterab
             for c in cols:
                 table = plain.where(F.col(_q(c)).isNotNull()).groupBy(F.col(_q(c)).alias("_level")).agg(F.sum(y).alias("_sum"), F.count(y).alias("_n"))
                 fitted.levels[c] = cut_lineage(table)
+                fitted.n_levels[c] = fitted.levels[c].count()
                 fitted.ops.append(("mean", c))
                 encoded.add(c)
         elif s.rule in ("A6", "B4"):
@@ -328,7 +329,8 @@ def apply_features(df: DataFrame, fitted: FittedFeatures, training: bool = False
 
     ``training`` says that ``df`` are the fitted rows: target means then leave the row out. Rows to be scored may lack
     the target column. Levels that were not fitted get the overall mean or code -1. The dictionaries meet the rows by a
-    join on the level, which adaptive execution splits where a level is hot.
+    join on the level: broadcast up to 200,000 levels, so that the rows stay where they are, and beyond them by a
+    shuffle, which adaptive execution splits where a level is hot.
     """
     has_target = fitted.target in df.columns
     for kind, op in fitted.ops:
@@ -338,7 +340,7 @@ def apply_features(df: DataFrame, fitted: FittedFeatures, training: bool = False
             df = df.drop(*op)
         else:
             table = fitted.levels[op]
-            table = F.broadcast(table) if kind == "code" else table
+            table = F.broadcast(table) if kind == "code" or fitted.n_levels[op] <= BROADCAST_LEVELS else table
             order = df.columns
             made = _mean_code(fitted, has_target, training) if kind == "mean" else F.coalesce("_code", F.lit(-1.0))
             joined = df.join(table, df[_q(op)] == table["_level"], "left")
