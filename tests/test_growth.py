@@ -55,3 +55,30 @@ def test_rows_stay_where_they_are_when_a_dictionary_is_small(spark):
         assert sorted(map(tuple, large.collect())) == sorted(map(tuple, out.collect()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_distinct_values_are_told_without_a_shuffle_of_values(spark):
+    from tabscope.operators.assoc import _some_distinct
+    from tabscope.operators.schema import select_numeric_columns
+    df = spark.range(200).selectExpr("CAST(id AS DOUBLE) AS many", "id % 3 AS three", "CAST(id % 2 AS INT) AS two", "1.5D AS one", "CAST(NULL AS DOUBLE) AS none",
+                                     "IF(id % 50 = 0, id % 4, NULL) AS rare", "CASE id % 3 WHEN 0 THEN double('NaN') WHEN 1 THEN double('inf') ELSE -0.0D END AS odd")
+    want = {"many": (200, 4), "three": (200, 3), "two": (200, 2), "one": (200, 1), "none": (0, 0), "rare": (4, 2), "odd": (200, 3)}
+    assert _some_distinct(df, df.columns, 4) == want
+    assert {c: _some_distinct(df, [c], 3)[c][1] for c in df.columns} == {c: min(3, d) for c, (_, d) in want.items()}
+    chosen = select_numeric_columns(df.drop("odd"))
+    assert [r["column"] for r in chosen.collect()] == ["many", "three"] and "xxhash64" not in plan(chosen)
+
+
+def test_pairwise_deviations_are_shared_where_no_value_is_missing(spark):
+    from tabscope.operators.assoc import pearson_pairs
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 3))
+    rows = [(float(a), float(b), float(c) if i % 5 else None) for i, (a, b, c) in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r["col1"], r["col2"]): (r["pearson_r"], r["n_pairs"]) for r in pearson_pairs(df, with_p=False).collect()}
+    some = np.array([i % 5 > 0 for i in range(400)])
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        rows = x if j == 1 else x[some]
+        assert got["abc"[i], "abc"[j]] == (pytest.approx(np.corrcoef(rows[:, i], rows[:, j])[0, 1], abs=1e-6), len(rows))
+    full = plan(pearson_pairs(df.drop("c"), with_p=False))
+    assert "CASE WHEN isnotnull" not in full.split("Results")[-1] and "stddev_samp(CASE" not in full
