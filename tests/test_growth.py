@@ -82,3 +82,20 @@ def test_pairwise_deviations_are_shared_where_no_value_is_missing(spark):
         assert got["abc"[i], "abc"[j]] == (pytest.approx(np.corrcoef(rows[:, i], rows[:, j])[0, 1], abs=1e-6), len(rows))
     full = plan(pearson_pairs(df.drop("c"), with_p=False))
     assert "CASE WHEN isnotnull" not in full.split("Results")[-1] and "stddev_samp(CASE" not in full
+
+
+def test_ranks_are_counted_in_tasks_by_the_rows_and_first_groups_are_of_their_column(spark, monkeypatch):
+    from tabscope.operators import assoc as H
+    from tabscope.operators import window as W
+    rng = np.random.default_rng(6)
+    rows = [("a" if i % 3 else "b", float(v), None if i % 3 else float(v)) for i, v in enumerate(rng.integers(0, 40, 900))]
+    rows = [(g, 7.0 if i % 4 == 0 else x, y) for i, (g, x, y) in enumerate(rows)]  # a frequent value
+    df = spark.createDataFrame(rows, "g string, x double, y double")  # y has no value in the first group
+    a, b = (np.array([x for g, x, _ in rows if g == k]) for k in "ab")
+    u = float((a[:, None] > b).sum() + (a[:, None] == b).sum() / 2)
+    monkeypatch.setattr(W, "RANK_ROWS", 50)
+    got = H.ttest_pairs(df, ["g"], ["x", "y"], with_p=False).collect()
+    assert [(r["numeric_col"], r["n_group1"], r["mannwhitney_u"]) for r in got] == [("x", 600, u)]
+    counts, parts = W.counted_values(df, [], "x", with_y=F.col("y"))
+    assert parts == 18 and counts.rdd.getNumPartitions() == 18
+    assert {r["x"]: (r["n"], r["with_y"]) for r in counts.collect()} == {v: (sum(x == v for _, x, _ in rows), sum(x == v and y is not None for _, x, y in rows)) for _, v, _ in rows}
