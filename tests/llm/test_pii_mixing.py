@@ -94,6 +94,46 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     assert len(got) == 21 == len(set(got)) and "95" not in got
 
 
+def test_rounds_settle_as_drawn_one_by_one(spark, monkeypatch):
+    import hashlib
+    names = [f"ssn:{i}00-00-0000" for i in range(10, 30)] + ["ssn:95"]
+    monkeypatch.setattr(pii, "surrogate", lambda unit, key, attempt: (F.lit(90) + F.conv(F.substring(F.md5(F.concat_ws("|", unit, attempt.cast("string"))), 1, 6), 16, 10).cast("long") % 25).cast("string"))
+    want, attempt = {}, 0
+    while todo := sorted(set(names) - set(want)):
+        fixed = set(want.values()) | {n.split(":")[1] for n in names}
+        for unit in todo:
+            drawn = str(90 + int(hashlib.md5(f"{unit}|{attempt}".encode()).hexdigest()[:6], 16) % 25)
+            if drawn not in fixed and drawn not in [d for u, d in want.items() if u in todo]:
+                want[unit] = drawn
+        attempt += 1
+    got = {r.unit: r.surrogate for r in pii.assign(spark.createDataFrame([(n,) for n in names], "unit string"), "k").collect()}
+    assert attempt > 2 and got == want
+
+
+def test_files_follow_the_rows_not_the_partitions(spark, monkeypatch):
+    written = []
+
+    def counted(df, name, write=pii.materialize):
+        out = write(df, name)
+        written.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(pii, "materialize", counted)
+    texts = [(i, f"mail user{i}@host{i % 7}.example.com or call (988) 555-{1000 + i}") for i in range(600)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    keys = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        rows = pii.replace_entities(df, count_into="n").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len({r.text for r in rows}) == 600 and all(r.n == 2 for r in rows)
+    assert written[0][1] <= 3 and all(n == 1 for name, n in written[1:]) and len(written) < 6
+
+
 def test_query_leaves_nothing_and_changes_only_entities(spark):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     loose = re.compile(r"[\w.+-]+@[\w.-]+\.\w+|\+1 \(\d{3}\) 555-\d{4}|\b4\d{15}\b|\b\d+\.\d+\.\d+\.\d+\b|\b[0-9a-f]{40}\b")
