@@ -1,3 +1,6 @@
+import os
+import threading
+
 import numpy as np
 import pytest
 
@@ -86,3 +89,55 @@ def test_query_and_small_blocks(spark):
     rows = [(i, x.tolist()) for i, x in enumerate(clustered(rng, 260, 8, 0.16))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, near_duplicates(df, block=60).collect()), key=repr) == brute(rows)
+
+
+def test_floats_zeros_and_copies(spark):
+    rng = np.random.default_rng(5)
+    x = clustered(rng, 60, 8, 0.16).astype(np.float32)
+    rows = [(i, x[i % 60].tolist()) for i in range(300)] + [(i, [0.0, 1.0, -0.0]) for i in (400, 401)] + [(i, [-0.0, 1.0, 0.0]) for i in (402, 403)]
+    rows += [(404, [float("nan"), 1.0]), (405, [float("-inf"), 1.0]), (406, [None, 1.0]), (407, [-0.0, 0.0]), (408, [-1.0, -2.0]), (409, [1e-45, 2e-45]), (409, [3.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    assert sorted(map(tuple, near_duplicates(df, block=25).collect()), key=repr) == brute(rows)
+
+
+def test_packed_tree():
+    v = clustered(np.random.default_rng(6), 200, 6, 0.2).astype(np.float32) * 3
+    tree = CoverTree(v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True))
+    again, ids, n = CoverTree.unpack(tree.pack(v, np.arange(200), np.arange(200) * 2))
+    assert (ids == tree.order).all() and (n == 2 * tree.order).all() and np.abs(again.x - tree.x).max() < 1e-12
+    assert all((p == q).all() for a, b in zip(again.levels, tree.levels, strict=True) for p, q in zip(a, b, strict=True))
+
+
+def test_disk_follows_vectors_not_pairs_of_blocks(spark):
+    x = unit(np.random.default_rng(7).normal(size=(3000, 16))).astype(np.float32)  # no structure: all pairs of blocks meet
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def used():
+        total = 0
+        for top in folders:
+            for base, _, names in os.walk(top):
+                for name in names:
+                    try:
+                        total += os.path.getsize(os.path.join(base, name)) if name.startswith("shuffle") else 0
+                    except FileNotFoundError:
+                        pass
+        return total
+
+    most, begin, done = [0], used(), threading.Event()
+
+    def watch():
+        while not done.wait(0.05):
+            most[0] = max(most[0], used() - begin)
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    try:
+        got = near_duplicates(df, block=40).collect()
+    finally:
+        done.set()
+        thread.join()
+    links = (x.astype(float) @ x.T.astype(float) >= 0.9).sum(1) - 1
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(links.tolist()))
+    assert most[0] < 20 * x.nbytes
