@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -48,23 +47,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def files_freed(spark: SparkSession, batch_rows: int | None = None) -> Iterator[None]:
-    """Shuffle files go with the query that wrote them, not when the driver's memory is next cleaned; for queries whose
-    result is stored. ``batch_rows``: rows in an Arrow batch meanwhile."""
-    want = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-    if batch_rows:
-        want["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch_rows)
-    old = {k: spark.conf.get(k, None) for k in want}
-    try:
-        for k, v in want.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Rows in an Arrow batch that goes to Python, so that a batch of long texts stays small."""
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))

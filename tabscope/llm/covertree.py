@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import files_freed, long_schema, materialize, sorted_runs
+from ..session import files_freed
+from .common import long_schema, materialize, sorted_runs
 from .graph import components, local_roots
 
 #: Vectors of one tree: what a task holds of either side of a pair of trees.

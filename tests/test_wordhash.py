@@ -36,6 +36,13 @@ def test_keys_are_md5():
         assert keys.tolist() == [int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for _, w in want]
 
 
+def test_order_of_keys():
+    rng = np.random.default_rng(1)
+    for keys in (rng.integers(0, 1 << 63, 5000, dtype=np.uint64)[rng.integers(0, 5000, 20_000)], np.zeros(0, np.uint64),
+                 rng.integers(0, 200, 9000, dtype=np.uint64)):  # the last differ only in bits that make room for the places
+        assert (WH.order_of(keys) == np.argsort(keys, kind="stable")).all()
+
+
 def test_lines_of_odd_texts(spark):
     breaks = ["\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", " ", " "]
     texts = ["", "\n", "a", "a\n\n", "\n\na", " ", None, "\r\n\r\n"] + [f"a{x}{y}b{y}" for x in breaks for y in breaks] + [f"{x}a {x} b" for x in breaks]
@@ -67,3 +74,23 @@ def test_an_id_over_many_rows_of_chunks():
     assert sorted(x for r in rows for x in r.column(1)[0].as_py()) == sorted([0] * 30 + [1] * 30 + [2] * 30)
     assert all(len(set(r.column(1)[0].as_py()) & set(s.column(1)[0].as_py())) == 0 for i, r in enumerate(rows) for s in rows[:i])
     assert all(np.allclose((WH.counts_matrix(WH.unpack(r.column(3)[0].as_py()), 16) ** 2).sum(1), 1) for r in rows)
+
+
+def test_packed_parts_are_stored_once_and_score_as_joins(spark, odd):
+    docs, queries = odd
+    q = queries.where("query_id IS NOT NULL")
+    key = lambda df: sorted((r.query_id, r["rank"], r.doc_id, r.chunk_no, r.score, r.dense, r.lexical) for r in df.collect())
+    index = RT.build_index(docs.where("doc_id IS NOT NULL"))  # the joined twin never meets null ids
+    stored = {c: index[c] for c in ("chunks", "dense", "postings", "terms")}
+    assert key(RT.hybrid_search(index, q, 5)) == key(RT.hybrid_search_join(stored, q, 5))
+    blocks, _ = index.ask(q.select("query_id", "text"), RT.HASH_DIMS)
+    assert "packed" in blocks.columns and "at" not in blocks.columns  # small enough to be stored
+
+
+def test_context_cuts_only_the_documents_that_were_hit(spark, odd):
+    docs = odd[0].where("doc_id IS NOT NULL")
+    index = RT.build_index(docs)
+    hits = index["chunks"].where("doc_id IN ('d3', 'd17')").selectExpr("1L AS request_id", "7 AS query_id", "doc_id", "chunk_no", "1d / (1 + chunk_no) AS score").distinct()
+    assert RT.context_block(hits, index).collect() == RT.context_block(hits, index["chunks"]).collect()
+    met = index.chunks_of(hits, True)
+    assert {r.doc_id for r in met.collect()} == {"d3", "d17"}
