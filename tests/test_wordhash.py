@@ -29,10 +29,11 @@ def test_keys_are_md5():
     texts = [" ".join(words[j] for j in rng.integers(0, 400, rng.integers(0, 9))) for _ in range(300)] + [None, "", "a" * 300 + " b"]
     for col in (pa.array(texts), pa.array(texts).slice(3, 250), pa.array([], pa.string())):
         found = WH.Words(col)
-        text, keys = found.terms()
+        text, keys = found.text_of, found.md5()
         lists = [(t or "").split() for t in col.to_pylist()]
         want = [(i, w) for i, ws in enumerate(lists) for w in ws] + [(i, f"{a} {b}") for i, ws in enumerate(lists) for a, b in zip(ws, ws[1:])]
         assert list(zip(text.tolist(), found.strings(np.arange(len(keys))).to_pylist())) == want
+        assert len(set(zip(found.terms().tolist(), keys.tolist()))) == len(set(found.terms().tolist())) == len(set(keys.tolist()))
         assert keys.tolist() == [int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for _, w in want]
 
 
